@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from symloom.llm import media
+from symloom.llm import media, mixing, packing
 
 QUERIES = {
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op10_media_telephony": media.op10_media_telephony,
 }
 
