@@ -13,6 +13,9 @@ table; other columns are not read.
 
 from __future__ import annotations
 
+import base64
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,62 +26,63 @@ from pyspark.sql import functions as F
 
 from symloom.llm.common import materialize, partitions, table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SEQUENCE = 1024
 END = 2
-#: Entries of a worker's cache of encoded words; at this size it starts afresh.
-CACHE = 400_000
+#: The byte-level pattern with possessive repeats: the same tokens, found without backtracking.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """Encoded words as little-endian 32-bit ids, encoded when first met."""
+class Encoder:
+    """Ids of the JSON file's tokenizer. Its vocabulary as ranks gives the same ids some four times
+    as fast; only a text that holds an added token's string needs the tokenizer itself."""
 
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer
+    def __init__(self, path: str, ranks: str) -> None:
+        import tiktoken
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.path, self.full = path, None
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = self.encode(word)
-        return out
+    def __call__(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
+        if any(t in text for t in self.added):
+            if self.full is None:
+                from tokenizers import Tokenizer
 
+                self.full = Tokenizer.from_file(self.path)
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
-def encode(words: _Words, text: str) -> bytes:
-    """Ids of a text. The byte-level pattern never lets a token run over a blank that a non-blank
-    follows, so a text with single inner blanks is encoded word by word (each with its blank)."""
-    if not text:
-        return b""
-    if "  " in text or text[-1] == " " or text[0] == " ":
-        return words.encode(text)
-    if len(words) > CACHE:
-        words.clear()
-    first, *rest = text.split(" ")
-    return words[first] + b"".join([words[" " + w] for w in rest])
+
+@functools.cache
+def encoder(path: str, ranks: str) -> Encoder:
+    """One per Python worker."""
+    return Encoder(path, ranks)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """Pieces of at most ``sequence`` tokens; of a longer document the first may be shorter."""
-    path = path or tokenizer_path()
+    path, ranks = path or vocabulary(TOKENIZER), ranks or vocabulary(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words, mark = _Words(Tokenizer.from_file(path)), np.array([end], "<u4").tobytes()
+        encode, mark = encoder(path, ranks), np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(words, text or "") + mark
+                ids = encode(text or "") + mark
                 n = len(ids) // 4
                 start, k = 0, 0
                 stop = n % sequence or sequence
@@ -168,9 +172,9 @@ def ranked(rows: DataFrame) -> DataFrame:
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    rows = materialize(pieces(docs, path, sequence, end), "pieces")
+    rows = materialize(pieces(docs, path, ranks, sequence, end), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = best_fit(counts, sequence)
     plan = np.array(sorted(slots) or np.empty((0, 5)), dtype=np.int64)
