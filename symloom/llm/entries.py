@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from symloom.llm import media, mixing, packing
+from symloom.llm import media, mixing, packing, topk
 
 QUERIES = {
-    "op9_mix_sources": mixing.op9_mix_sources,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_exact_topk": topk.op8_exact_topk,
+    "op9_mix_sources": mixing.op9_mix_sources,
     "op10_media_telephony": media.op10_media_telephony,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_exact_topk": topk.ORACLE}
