@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from symloom.llm import media, mixing, packing, topk, toxicity
+from symloom.llm import jaccard, media, mixing, packing, topk, toxicity
 
 QUERIES = {
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_exact_topk": topk.op8_exact_topk,
