@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from symloom.llm import jaccard, media, mixing, packing, topk, toxicity
+from symloom.llm import jaccard, media, mixing, packing, secrets, topk, toxicity
 
 QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_media_telephony": media.op10_media_telephony,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op3_secret_scan": secrets.oracle(), "op8_exact_topk": topk.ORACLE}
