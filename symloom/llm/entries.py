@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from symloom.llm import jaccard, media, mixing, packing, secrets, topk, toxicity
+from symloom.llm import jaccard, media, mixing, packing, secrets, substrings, topk, toxicity
 
 QUERIES = {
+    "op2_suffix_dedup": substrings.op2_suffix_dedup,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op1_toxicity": toxicity.op1_toxicity,
