@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.llm.common import materialize, partitions, table, utf8
@@ -196,21 +196,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row; no set_id without shingles."""
+    """(doc_id, text_key, n_shingles, set_id) of every row; no set_id without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, name = batch.column(1).to_pylist(), [], []
+            texts, n, name = batch.column(2).to_pylist(), [], []
             for a, b in slices(texts):
                 for items in shingle_sets(texts[a:b]):
                     n.append(len(items))
                     name.append(set_id(items))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64())], names=["doc_id", "n_shingles", "set_id"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(name, pa.int64())],
+                names=["doc_id", "text_key", "n_shingles", "set_id"],
             )
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    raw = utf8()
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_key"), raw.alias("raw"))
+    return src.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long")
 
 
 def _texts(docs: DataFrame, known: DataFrame, needed: DataFrame) -> DataFrame:
@@ -268,7 +270,8 @@ def _part(df: DataFrame, parts: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts the verified links of a row's set."""
+    """(doc_id, text_key, n_shingles, component_id, n_links): n_links counts the verified links of a
+    row's set."""
     parts = partitions(docs.sparkSession)
     known = materialize(sets(docs), "sets")
     met = materialize(_part(_blocks(docs, parts, percent), parts).mapInArrow(_meet, MET), "met")
@@ -297,11 +300,23 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = named.join(degree, "set_id", "left")
     return known.join(named, "set_id", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, that of the smallest doc_id, and every document without shingles,
+    all columns kept."""
+    kept = classes(docs, percent).filter("n_shingles = 0 OR doc_id <=> component_id")
+    kept = kept.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.max("n_shingles").alias("_n"))
+    key = F.xxhash64(utf8())
+    rows = docs.withColumn("_text", key).join(kept, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.col("_text") == F.col("_key")))
+    copy = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy("_key"))
+    return rows.withColumn("_copy", copy).filter("_copy = 1 OR _n = 0").select(*docs.columns)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -11,8 +11,8 @@ their hash rank, taken in salted sub-groups.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of
 its own, last in order; a source without words has target 0; repeated rows are documents of their
-own; an empty table gives an empty table; other columns are kept by ``mix`` as they are, and names
-that clash with its own are not possible since it adds them under the names asked for.
+own; an empty table gives an empty table; other columns do not matter to ``mix`` and are carried whole,
+inside one struct, by ``repeat_documents``, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -145,14 +145,17 @@ def _walk(most: int):
     return step
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies) for every document."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, rows: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies) for every document; with ``rows``
+    also the whole input row as struct ``row``."""
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
     salts = 4 * partitions(docs.sparkSession)
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         words().alias("size"),
+        *carried,
     )
     base = materialize(base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))), "mix-sizes")
     salted = base.groupBy(*KEY, "size", "salt").agg(F.count("*").alias("k"))
@@ -178,9 +181,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
         "target",
         "rate",
         mine.cast("long").alias("copies"),
+        *(["row"] if rows else []),
     )
 
 
+def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix itself: every document as often as it has copies, all columns kept."""
+    out = mix(docs, weights, most, rows=True).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
