@@ -3,11 +3,11 @@
 Sets of word shingles are grouped in size bands such that a partner is in a set's own band or the
 next; each band's instance splits the hash universe into one segment more than the shingles that
 two linked sets can differ in, so two linked sets agree on some whole segment. A set indexes the
-signature of every non-empty segment, and for a few reserve segments those of all one-deletion
-subsets too. The allocation weighs costs: an empty segment would meet every set that has nothing
-there, so probes skip it, first within the slack that a set smaller than its band's largest has,
-then by probing as many reserve segments to one difference (worth two exact ones). Only a set with
-more empty segments than both allow indexes its empty ones, and meets others of that kind there.
+signatures of its segments, and for a few reserve segments those of one-deletion subsets too. The
+allocation weighs costs: a segment that is empty or holds only frequent shingles would meet many
+unrelated sets, so the costliest are left out, first within the slack that a set smaller than its
+band's largest has, then by probing as many reserve segments to one difference (worth two exact
+ones). Frequencies come from all rows, by bounded reports of every task; they only set costs.
 
 Signatures travel in packed blocks, one per map task and target partition. There, sets of a shared
 signature become candidate pairs: all of a small bucket; of a larger bucket each member with a few
@@ -22,6 +22,7 @@ repeated rows are copies; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.llm.common import materialize, partitions, table, utf8
+from symloom.llm.blocks import changes
 from symloom.llm.components import components
 from symloom.llm.shingles import mix, set_id, shingle_sets, slices
+from symloom.llm.sketches import least_difference, same_width, sketch
 
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 80
 #: Buckets of at most so many sets pair all of them; in larger ones every set meets so many pivots.
-SMALL, PIVOTS = 6, 2
+#: A bucket of more than WIDE sets is compared in blocks, each with each, in tasks of their own.
+SMALL, PIVOTS, WIDE = 6, 2, 4_096
+#: Reserve segments of an instance, besides one in 48.
+RESERVE = 3
+#: The table of frequent shingles: its most entries, and the share of a task's rows (and the least
+#: number of them) from which a shingle is reported. It only sets costs, never results.
+FREQUENT, SHARE, REPORTED = 100_000, 0.0005, 4
 #: Signatures that a map task holds before it sends its blocks on.
 HELD = 4_000_000
 
@@ -61,9 +70,33 @@ class Bands:
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
-    """All signatures of one sorted set, over the instances of its own and the next band."""
+@dataclass(frozen=True)
+class Frequent:
+    """Shingles that many sets hold, in order, and in how many; others count as rare."""
+
+    items: np.ndarray
+    counts: np.ndarray
+
+    def of(self, items: np.ndarray) -> np.ndarray:
+        if not len(self.items):
+            return np.zeros(len(items))
+        at = np.minimum(np.searchsorted(self.items, items), len(self.items) - 1)
+        return np.where(self.items[at] == items, self.counts[at], 0.0)
+
+
+NONE = Frequent(np.zeros(0, np.uint64), np.zeros(0))
+
+
+def signatures(items: np.ndarray, bands: Bands, frequent: Frequent = NONE) -> np.ndarray:
+    """All signatures of one sorted set, over the instances of its own and the next band.
+
+    A segment costs what its rarest shingle's frequency says, an empty one more than any. Of its
+    segments a set may leave out as many as its slack and its usable reserve segments make up for,
+    and leaves out the costliest: all above a price that is its own. Of two linked sets, the one
+    with the lower price probes only segments that the other indexes as well, equal segments having
+    equal costs, so no link is lost whatever the frequencies are."""
     own, out = bands.of(len(items)), []
+    often = frequent.of(items)
     for band in (own, own + 1):
         top = bands.top(band)
         count = bands.differ(top, top) + 1
@@ -72,16 +105,24 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
         value = mix(items + np.uint64(band))
         whole = np.add.reduceat(value, first)
         name = mix(segment[first] * np.uint64(0x100000001B3) + np.uint64(band))
-        out.append(whole ^ name)
-        reserve = 2 + count // 64 if count >= 8 else 0
+        cost = np.minimum.reduceat(often, first)
         size = np.diff(np.append(first, len(items)))
-        spare = (segment[first] < reserve) & (size >= 3)
-        for k in np.flatnonzero(spare):
-            a = first[k]
-            out.append((whole[k] - value[a : a + size[k]]) ^ name[k])
+        rare = np.add.reduceat((often == 0).astype(np.int64), first)
+        # reserve segments: every subset with one shingle less that still holds a rare one
+        held = segment[first] < (RESERVE + count // 48 if count >= 8 else 0)
+        for k in np.flatnonzero(held & (size >= 3) & (rare >= 1)):
+            part = slice(first[k], first[k] + size[k])
+            left = rare[k] - (often[part] == 0) >= 1
+            out.append((whole[k] - value[part][left]) ^ name[k])
+        usable = int((held & (size >= 3) & (rare >= 2)).sum())
+        budget = count - 1 - bands.differ(len(items), top) + usable
         empty = count - len(first)
-        slack = count - 1 - bands.differ(len(items), top)
-        if empty > slack + int(spare.sum()):
+        price = np.inf
+        if empty <= budget:
+            left = budget - empty
+            price = np.partition(cost, len(cost) - 1 - left)[len(cost) - 1 - left] if left < len(cost) else 0.0
+        out.append((whole ^ name)[cost <= price])
+        if empty > budget:
             absent = np.setdiff1d(np.arange(count, dtype=np.uint64), segment[first])
             out.append(mix(absent * np.uint64(0x100000001B3) + np.uint64(band)))
     return mix(np.concatenate(out))
@@ -115,7 +156,7 @@ def _send(held: list[tuple[np.ndarray, int]], parts: int) -> Iterator[pa.RecordB
 BLOCKS = "part int, sigs binary, owner binary, names binary"
 
 
-def _blocks(docs: DataFrame, parts: int, percent: int) -> DataFrame:
+def _blocks(docs: DataFrame, parts: int, percent: int, frequent: Frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, held, size = Bands(percent), [], 0
         for batch in batches:
@@ -123,7 +164,7 @@ def _blocks(docs: DataFrame, parts: int, percent: int) -> DataFrame:
             for a, b in slices(texts):
                 for items in shingle_sets(texts[a:b]):
                     if len(items):
-                        held.append((signatures(items, bands), set_id(items)))
+                        held.append((signatures(items, bands, frequent), set_id(items)))
                         size += len(held[-1][0])
                 if size >= HELD:
                     yield from _send(held, parts)
@@ -133,102 +174,227 @@ def _blocks(docs: DataFrame, parts: int, percent: int) -> DataFrame:
     return docs.select(utf8().alias("raw")).mapInArrow(run, BLOCKS)
 
 
-MET = "bucket long, a long, b long"
+MET = "part int, a long, b long, buckets array<long>"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's blocks: candidate pairs (bucket null) and, of larger buckets, the members
-    (bucket, member, null)."""
-    sigs, sets = [], []
-    for batch in batches:
-        for part, raw, owner, names in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            wide = np.zeros((len(raw) // KEPT, 8), np.uint8)
-            wide[:, :KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
-            name = np.frombuffer(names, np.int64)
-            local = np.frombuffer(owner, "<u4" if len(name) > 65535 else "<u2")
-            sigs.append(wide.view(np.uint64).ravel() ^ (np.uint64(part) << np.uint64(48)))
-            sets.append(name[local])
-    if not sigs:
-        return
-    sig, who = np.concatenate(sigs), np.concatenate(sets)
-    del sigs, sets
-    order = np.argsort(sig, kind="stable")
-    sig, who = sig[order], who[order]
-    same = sig[1:] == sig[:-1]
-    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    sig, who = sig[shared], who[shared]
-    order = np.lexsort((who, sig))
-    sig, who = sig[order], who[order]
-    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])]) if len(sig) else np.zeros(0, bool)
-    sig, who = sig[fresh], who[fresh]
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(sig)))
-    left, right, bucket, member = [], [], [], []
-    for n in range(2, SMALL + 1):
-        at = first[size == n]
-        for i in range(n):
-            for j in range(i + 1, n):
-                left.append(who[at + i])
-                right.append(who[at + j])
-    for a, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        group = who[a : a + n]
-        # pivots differ between a group's buckets, so the members meet many of each other
-        turn = int(sig[a] >> np.uint64(7)) % 4
-        order = np.argsort(mix(group.view(np.uint64) + np.uint64(turn)))[:PIVOTS]
-        for p in order:
-            rest = np.delete(group, p)
-            left.append(np.minimum(rest, group[p]))
-            right.append(np.maximum(rest, group[p]))
-        bucket.append(np.repeat(sig[a : a + 1].view(np.int64), n))
-        member.append(group)
-    if left:
+def _meet(parts: int):
+    """Of one partition's blocks: candidate pairs (a, b) of small buckets; of larger ones, for each
+    member a, the buckets that it is in, dealt by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, sets = [], []
+        for batch in batches:
+            for part, raw, owner, names in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                wide = np.zeros((len(raw) // KEPT, 8), np.uint8)
+                wide[:, :KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
+                name = np.frombuffer(names, np.int64)
+                local = np.frombuffer(owner, "<u4" if len(name) > 65535 else "<u2")
+                sigs.append(wide.view(np.uint64).ravel() ^ (np.uint64(part) << np.uint64(48)))
+                sets.append(name[local])
+        if not sigs:
+            return
+        sig, who = np.concatenate(sigs), np.concatenate(sets)
+        del sigs, sets
+        order = np.argsort(sig, kind="stable")
+        sig, who = sig[order], who[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        sig, who = sig[shared], who[shared]
+        order = np.lexsort((who, sig))
+        sig, who = sig[order], who[order]
+        fresh = changes(sig, who)
+        sig, who = sig[fresh], who[fresh]
+        first = np.flatnonzero(changes(sig))
+        size = np.diff(np.append(first, len(sig)))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in range(2, SMALL + 1):
+            at = first[size == n]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    left.append(who[at + i])
+                    right.append(who[at + j])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         for a in range(0, len(pairs), 1 << 18):
             some = pairs[a : a + (1 << 18)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], names=["bucket", "a", "b"]
+                [pa.nulls(len(some), pa.int32()), pa.array(some[:, 0]), pa.array(some[:, 1]), pa.nulls(len(some), pa.list_(pa.int64()))],
+                names=["part", "a", "b", "buckets"],
             )
-    if member:
+        bucket, member = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
+            group, name = who[a : a + n], sig[a : a + 1]
+            if n <= WIDE:
+                bucket.append(np.repeat(name, n))
+                member.append(group)
+                continue
+            block = mix(group.view(np.uint64)) % np.uint64(-(-n // WIDE))
+            for i in range(-(-n // WIDE)):
+                for j in range(i):
+                    some = group[(block == i) | (block == j)]
+                    bucket.append(np.repeat(mix(name + np.uint64(i * 65_537 + j)), len(some)))
+                    member.append(some)
         bucket, member = np.concatenate(bucket), np.concatenate(member)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket), pa.array(member), pa.nulls(len(member), pa.int64())], names=["bucket", "a", "b"]
-        )
+        part = ((mix(bucket) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        order = np.lexsort((member, part))
+        bucket, member, part = bucket[order].view(np.int64), member[order], part[order]
+        cut = np.flatnonzero(np.append(changes(part, member), True))
+        for k in range(0, len(cut) - 1, 1 << 14):
+            some = cut[k : k + (1 << 14) + 1]
+            start = some[:-1]
+            lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(bucket[some[0] : some[-1]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[start]), pa.array(member[start]), pa.nulls(len(start), pa.int64()), lists], names=["part", "a", "b", "buckets"]
+            )
+
+    return run
+
+
+def _compare(percent: int, pivots: bool):
+    """Of one partition's large buckets: the pairs that a bucket's pivots make, or all pairs of
+    members whose components differ, that the sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size, sketch, root, bucket, owner = [], [], [], [], [], []
+        for batch in batches:
+            for a, n, s, r, b in zip(*(batch.column(c).to_pylist() for c in ("a", "n", "sketch", "root", "buckets")), strict=True):
+                owner += [len(name)] * len(b)
+                bucket += b
+                name.append(a)
+                size.append(n)
+                sketch.append(s)
+                root.append(r)
+        if not name:
+            return
+        name, size, root = np.array(name), np.array(size), np.array(root)
+        bucket, owner = np.array(bucket), np.array(owner)
+        order = np.argsort(bucket, kind="stable")
+        bucket, owner = bucket[order], owner[order]
+        edge = np.flatnonzero(np.append(changes(bucket), True))
+        found: list[np.ndarray] = []
+
+        def near(x: int, others: np.ndarray, one: np.ndarray, many: np.ndarray) -> None:
+            limit = (size[x] + size[others]) * (100 - percent) // (100 + percent)
+            some = others[least_difference(one, many) <= limit]
+            if len(some):
+                pair = np.stack([np.full(len(some), name[x]), name[some]], 1)
+                pair.sort(axis=1)
+                found.append(pair)
+
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            group = np.unique(owner[a:b])
+            if not pivots and root[group].min() == root[group].max():
+                continue
+            rows = same_width([sketch[i] for i in group])
+            if pivots:
+                # pivots differ between a group's buckets, so the members meet many of each other
+                turn = np.uint64((int(bucket[a]) >> 7) % 4)
+                for p in np.argsort(mix(name[group].view(np.uint64) + turn))[:PIVOTS]:
+                    rest = np.delete(np.arange(len(group)), p)
+                    near(group[p], group[rest], rows[p], rows[rest])
+            else:
+                for p in range(len(group) - 1):
+                    rest = p + 1 + np.flatnonzero(root[group[p + 1 :]] != root[group[p]])
+                    if len(rest):
+                        near(group[p], group[rest], rows[p], rows[rest])
+            if len(found) > 5000:
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        for a in range(0, len(pairs), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + (1 << 18), k]) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, s, t in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True):
+                x, y = same_width([s, t]) if min(n, m) * 100 >= percent * max(n, m) else (None, None)
+                keep.append(x is not None and int(least_difference(x, y[None])[0]) <= (n + m) * (100 - percent) // (100 + percent))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    side = lambda c: known.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_id) of every row; no set_id without shingles."""
+
+class _Tally:
+    """Frequencies of a task's shingles in bounded memory: those met once are forgotten at each fold."""
+
+    def __init__(self) -> None:
+        self.new: list[np.ndarray] = []
+        self.size = self.rows = 0
+        self.items, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, items: np.ndarray) -> None:
+        self.new.append(items)
+        self.size += len(items)
+        self.rows += 1
+        if self.size > 4_000_000:
+            self.fold()
+
+    def fold(self) -> None:
+        items, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.new]), return_counts=True)
+        items, counts = np.concatenate([self.items, items[counts > 1]]), np.concatenate([self.counts, counts[counts > 1]])
+        self.items, back = np.unique(items, return_inverse=True)
+        self.counts = np.bincount(back, weights=counts, minlength=len(self.items)).astype(np.int64)
+        self.new, self.size = [], 0
+
+    def reported(self) -> tuple[np.ndarray, np.ndarray]:
+        self.fold()
+        keep = self.counts >= max(REPORTED, SHARE * self.rows)
+        return self.items[keep], self.counts[keep]
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, set_id, sketch, met) of every row, no set_id without shingles;
+    rows with ``met`` are a task's frequent shingles (as text_key) and how many of its rows hold them."""
+    names = ["doc_id", "text_key", "n_shingles", "set_id", "sketch", "met"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for batch in batches:
-            texts, n, name = batch.column(2).to_pylist(), [], []
+            texts, n, name, drawn = batch.column(2).to_pylist(), [], [], []
             for a, b in slices(texts):
                 for items in shingle_sets(texts[a:b]):
                     n.append(len(items))
                     name.append(set_id(items))
+                    drawn.append(sketch(items))
+                    tally.add(items)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(name, pa.int64())],
-                names=["doc_id", "text_key", "n_shingles", "set_id"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(drawn, pa.binary()), pa.nulls(len(n), pa.int64())],
+                names=names,
             )
+        items, counts = tally.reported()
+        none = pa.nulls(len(items), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(items.view(np.int64)), none, none, pa.nulls(len(items), pa.binary()), pa.array(counts)], names=names)
 
     raw = utf8()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_key"), raw.alias("raw"))
-    return src.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long")
+    return src.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, sketch binary, met long")
 
 
-def _texts(docs: DataFrame, known: DataFrame, needed: DataFrame) -> DataFrame:
-    """(set_id, raw): one text for each needed set."""
-    first = known.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw")).join(first, "doc_id")
+def _frequent(found: DataFrame) -> Frequent:
+    """The most frequent shingles of all tasks' reports."""
+    rows = found.filter("met IS NOT NULL").groupBy("text_key").agg(F.sum("met").alias("n"))
+    rows = rows.filter(F.col("n") >= 4 * REPORTED).orderBy(F.desc("n"), "text_key").limit(FREQUENT).toArrow()
+    items, counts = rows.column("text_key").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64)
+    order = np.argsort(items)
+    return Frequent(items[order], counts[order])
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows of one doc_id may differ: keep the text that has the set
-            raw, name = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for a, b in slices(raw):
-                keep += [set_id(s) == n for s, n in zip(shingle_sets(raw[a:b]), name[a:b], strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("raw", "set_id").mapInArrow(own, "raw binary, set_id long").dropDuplicates(["set_id"])
+def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The verified pairs, written. Texts are read for the sets in ``pairs`` only."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    named = known.filter("set_id IS NOT NULL").select("set_id", "doc_id", "text_key").join(needed, "set_id", "left_semi")
+    named = named.dropDuplicates(["set_id"])
+    raw = utf8()
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(raw).alias("k"), raw.alias("raw"))
+    texts = rows.join(named, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")))
+    texts = materialize(texts.select("set_id", "raw").dropDuplicates(["set_id"]), "texts")
+    return materialize(verified(pairs, texts, percent), "links")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -270,40 +436,35 @@ def _part(df: DataFrame, parts: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, n_links): n_links counts the verified links of a
-    row's set."""
+    """(doc_id, text_key, n_shingles, component_id) of every row: the smallest doc_id that links reach."""
     parts = partitions(docs.sparkSession)
-    known = materialize(sets(docs), "sets")
-    met = materialize(_part(_blocks(docs, parts, percent), parts).mapInArrow(_meet, MET), "met")
-    pairs = materialize(met.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    big = met.filter("b IS NULL").select("bucket", F.col("a").alias("set_id"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(big.select("set_id")).distinct()
-    texts = materialize(_texts(docs, known.filter("set_id IS NOT NULL").select("set_id", "doc_id"), needed), "texts")
-    links = materialize(verified(pairs, texts, percent), "links")
+    found = materialize(_sets(docs), "sets")
+    known = found.filter("met IS NULL").drop("met")
+    drawn = known.filter("set_id IS NOT NULL").select("set_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set_id"])
+    met = materialize(_part(_blocks(docs, parts, percent, _frequent(found)), parts).mapInArrow(_meet(parts), MET), "met")
+    pairs = _possible(met.filter("part IS NULL").select("a", "b").distinct(), drawn, percent)
+    big = met.filter("part IS NOT NULL").select("part", "a", "buckets")
+    big = big.groupBy("part", "a").agg(F.flatten(F.collect_list("buckets")).alias("buckets"))
+    big = materialize(big.join(drawn.withColumnRenamed("set_id", "a"), "a"), "large")
+    stars = _part(big.withColumn("root", F.col("a")), parts).mapInArrow(_compare(percent, True), "a long, b long")
+    pairs = materialize(pairs.union(stars).distinct(), "pairs")
+    links = _links(docs, known, pairs, percent)
     root = components(links)
-    # members of one large bucket that are still apart
-    apart = big.join(root.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-    apart = apart.select("bucket", "set_id", F.coalesce("root", "set_id").alias("root"))
-    mixed = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    apart = materialize(apart.join(mixed, "bucket", "left_semi"), "apart")
-    if apart.limit(1).count():
-        other = apart.select("bucket", F.col("set_id").alias("b"), F.col("root").alias("rb"))
-        rest = apart.join(other, "bucket").filter("root <> rb AND set_id < b").select(F.col("set_id").alias("a"), "b").distinct()
-        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(verified(rest, texts, percent), "links")
-        links = links.union(more)
+    # members of large buckets that are still apart
+    now = big.join(root.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    rest = _part(now, parts).mapInArrow(_compare(percent, False), "a long, b long").distinct()
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        more = _links(docs, known, rest, percent)
         root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     first = known.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    degree = links.select(F.explode(F.array("u", "v")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     named = first.join(root.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("set_id", "component_id")
-    named = named.join(degree, "set_id", "left")
     return known.join(named, "set_id", "left").select(
         "doc_id",
         "text_key",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
@@ -319,4 +480,4 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
