@@ -1,0 +1 @@
+"""The analysis has no streaming operators; event streams are aligned as batches per key."""
