@@ -88,23 +88,26 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, offset long, length long, kind string, uri string, block binary")
 
 
-def archive(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """(page_id, file, ordinal, offset, length, record): pages dealt to files by hash, in page order there."""
+def archive(pages: DataFrame, per_file: int = PER_FILE, keep: bool = True, also: dict[str, Column] | None = None) -> DataFrame:
+    """(page_id, file, ordinal, offset, length, sha[, record]): pages dealt to files by hash, in page
+    order there. Bytes are hashed where they are read, so without ``keep`` they are never shuffled;
+    ``also`` names further hashes, of bytes made from ``record``."""
     files = max(1, -(-pages.count() // per_file))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), record().alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "url"), F.lit(files)))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "length", F.xxhash64("record"))
+    hashes = {"sha": F.sha2("record", 256)} | {k: F.sha2(c, 256) for k, c in (also or {}).items()}
+    rows = rows.withColumns(hashes | {"length": F.octet_length("record").cast("long"), "file": F.pmod(F.xxhash64("page_id", "url"), F.lit(files))})
+    rows = rows if keep else rows.drop("record")
+    order = Window.partitionBy("file").orderBy("page_id", "url", "length", "sha")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
         "page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"),
-        F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "record",
+        F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", *hashes, *(["record"] if keep else []),
     )
 
 
 def leaves(records: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(node, first, stop, digest, page_id): a leaf for each record, numbered over all files."""
-    text = F.concat_ws(":", F.lit("0"), "file", "offset", "length", F.sha2("record", 256))
+    text = F.concat_ws(":", F.lit("0"), "file", "offset", "length", "sha")
     place = F.col("file") * FAN**depth + F.col("ordinal")
     span = lambda at: F.struct(F.col("file").alias("file"), at.alias("offset"))
     return records.select(
@@ -132,7 +135,7 @@ def _differ(nodes: DataFrame, *kept: Column) -> DataFrame:
 
 def audit(a: DataFrame, b: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(page_id, file, ordinal, first_byte, stop_byte, status) of the records that differ between
-    replicas (file, ordinal, offset, length, record, page_id): 'changed', 'missing' in b, 'extra' in b.
+    replicas (file, ordinal, offset, length, sha, page_id): 'changed', 'missing' in b, 'extra' in b.
     Ranges are replica a's where it has the record."""
     level = leaves(a, depth).withColumn("replica", F.lit("a")).unionByName(leaves(b, depth).withColumn("replica", F.lit("b")))
     levels = [materialize(level, "leaves")]
@@ -155,17 +158,26 @@ def audit(a: DataFrame, b: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with known damage, chosen by page id: a byte changed, the end cut off, or the record gone."""
+def harmed(data: Column) -> Column:
+    """Known damage, chosen by page id: one byte changed, or the end cut off."""
     at = F.crc32(F.col("page_id").cast("string"))
-    data, n = F.col("record"), F.octet_length("record")
     flipped = F.concat(F.substring(data, 1, 64), F.lit(b"#"), F.substring(data, 66, 1 << 30))
-    cut = F.substring(data, F.lit(1), n - 5)
-    return records.filter(F.coalesce(at % 83 != 2, F.lit(True))).withColumn(
-        "record", F.when(at % 97 == 0, flipped).when(at % 89 == 1, cut).otherwise(data)
-    )
+    cut = F.substring(data, F.lit(1), F.octet_length(data) - 5)
+    return F.when(at % 97 == 0, flipped).when(at % 89 == 1, cut).otherwise(data)
+
+
+def present() -> Column:
+    """Whether a replica with known damage has a record at all."""
+    return F.coalesce(F.crc32(F.col("page_id").cast("string")) % 83 != 2, F.lit(True))
+
+
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica with known damage, of records that hold their bytes."""
+    rows = records.filter(present()).withColumn("record", harmed(F.col("record")))
+    return rows.withColumn("sha", F.sha2("record", 256))
 
 
 def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = archive(table(spark, sf_dir, "pages"))
-    return audit(records, damaged(records))
+    records = archive(table(spark, sf_dir, "pages"), keep=False, also={"sha_b": harmed(F.col("record"))})
+    records = materialize(records, "records")
+    return audit(records.drop("sha_b"), records.filter(present()).withColumn("sha", F.col("sha_b")).drop("sha_b"))
