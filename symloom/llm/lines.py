@@ -60,25 +60,27 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
     Word d holds a bit per diagonal (places in ``a`` minus places in ``b``, -edits to edits) on which
     d edits at most reach this far: kept by a match, and by one edit more shifted down (a character
-    of ``b`` is extra), in place (replaced) or up (a character of ``a`` is extra)."""
+    of ``b`` is extra), in place (replaced) or up (a character of ``a`` is extra). The characters of
+    ``a`` ride along in the state: outside of it they would be cut anew at every step."""
     other = F.split(b, "")
     width = 2 * edits + 1
     full = (1 << width) - 1
     names = [f"r{d}" for d in range(edits + 1)]
-    start = F.struct(F.lit(0).alias("j"), *[F.lit(((1 << d + 1) - 1) << edits & full).alias(names[d]) for d in range(edits + 1)])
+    start = F.struct(F.lit(0).alias("j"), F.split(a, "").alias("chars"), *[F.lit(((1 << d + 1) - 1) << edits & full).alias(names[d]) for d in range(edits + 1)])
 
     def step(acc: Column, c: Column) -> Column:
         hit = None
         for k in range(width):
             at = acc["j"] + (k - edits)
-            bit = F.when(F.get(F.col("_chars"), F.when(at >= 0, at)) == c, F.lit(1 << k)).otherwise(F.lit(0))
+            bit = F.when(F.get(acc["chars"], F.when(at >= 0, at)) == c, F.lit(1 << k)).otherwise(F.lit(0))
             hit = bit if hit is None else hit.bitwiseOR(bit)
         after = [acc[names[0]].bitwiseAND(hit)]
         for d in range(1, edits + 1):
             less = acc[names[d - 1]]
             more = less.bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(after[d - 1], 1))
             after.append(acc[names[d]].bitwiseAND(hit).bitwiseOR(more).bitwiseAND(F.lit(full)))
-        return F.struct((acc["j"] + 1).alias("j"), *[w.alias(n) for w, n in zip(after, names, strict=True)])
+        moved = F.struct((acc["j"] + 1).alias("j"), acc["chars"].alias("chars"), *[w.alias(n) for w, n in zip(after, names, strict=True)])
+        return F.when(acc[names[-1]] == 0, acc).otherwise(moved)  # no diagonal is left: nothing can follow
 
     gap = F.length(a) - F.length(b)
     near = F.abs(gap) <= edits
@@ -87,9 +89,22 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return near & (last.bitwiseAND(end) != 0)
 
 
+def _pieces(a: Column, b: Column, edits: int, parts: int = 16) -> Column:
+    """Whether all but ``edits`` of many finer segments of ``a`` stand in ``b`` near their places, as
+    they must where that many edits lie between the two: spares most pairs the edit distance."""
+    n, found = F.length(a), F.lit(0)
+    for i in range(parts):
+        start, stop = (F.floor(n * k / parts).cast("int") for k in (i, i + 1))
+        low = F.greatest(start - edits, F.lit(0))
+        there = F.contains(F.substring(b, low + 1, stop + edits - low), F.substring(a, start + 1, stop - start))
+        found = found + there.cast("int")
+    return found >= parts - edits
+
+
 def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The pairs whose texts ``line_a`` and ``line_b`` are within ``edits`` edits."""
-    return pairs.withColumn("_chars", F.split("line_a", "")).filter(within(F.col("line_a"), F.col("line_b"), edits)).drop("_chars")
+    a, b = F.col("line_a"), F.col("line_b")
+    return pairs.filter(_pieces(a, b, edits) & within(a, b, edits))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
