@@ -15,7 +15,7 @@ a table of ``BUCKETS`` floats, whatever the size of the corpus.
 The sample is bounded: at most ``PER_CLASS`` labelled texts of each class, chosen by hash, of at
 most ``LONGEST`` bytes. Scoring always reads whole texts.
 
-Defined results: null and empty texts, and texts without words, score by the model's bias; labels
+Defined results: null and empty texts, and texts without words, score the share of toxic labels; labels
 that are null or have no document are not used, a document with several labels is toxic if one says
 so; without both classes every score is the share of toxic labels (0 without labels); repeated rows
 are scored alike; an empty table gives an empty table; other columns are not read.
@@ -93,7 +93,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Bucket table and calibration; ``constant`` where nothing could be learned."""
+    """Bucket table and calibration; ``constant`` for texts without words and where nothing was learned."""
 
     table: np.ndarray | None
     bias: float = 0.0
@@ -112,13 +112,16 @@ class Model:
             count += np.diff(edge)
         mean = total / np.maximum(count, 1)
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, owner, mean + self.bias)
+        np.maximum.at(out, owner, np.where(count > 0, mean + self.bias, -np.inf))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.table is None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -50, 50)))
+        logits = self.logits(texts)
+        known = np.isfinite(logits)  # a text without words has none
+        score = 1 / (1 + np.exp(-np.clip(self.slope * np.where(known, logits, 0.0) + self.shift, -50, 50)))
+        return np.where(known, score, self.constant)
 
 
 def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,11 +192,13 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 11) ->
             grad = np.stack([np.bincount(back, weights=g_mean[:, j].astype(np.float64)[owner_of]) for j in range(WIDTH)], 1).astype(np.float32)
             emb_sum[rows] += (grad**2).mean(1)
             emb[rows] -= RATE * grad / np.sqrt(emb_sum[rows])[:, None]
-    model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), constant=share)
     del found, emb, emb_sum
     held = np.flatnonzero(apart) if apart.any() else fit
     x = np.concatenate([model.logits([texts[i] for i in held[a : a + 50]]) for a in range(0, len(held), 50)])
-    y = toxic[held].astype(np.float64)
+    y, x = toxic[held][np.isfinite(x)].astype(np.float64), x[np.isfinite(x)]
+    if not len(y):
+        return Model(None, constant=share)
     w = np.where(y == 1, MISS * share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     model.slope, model.shift = _platt(x, y, w)
     return model
