@@ -8,7 +8,9 @@ probes it for its own and the EDITS next smaller lengths at only those places th
 and right of a segment allow. Candidates are verified by a banded bit-parallel edit distance: one
 bit per diagonal of the band, one word per number of edits, one step per character.
 
-Lines shorter than ``LEAST`` characters are left alone. Edits are counted in code points.
+Edits are counted in code points. Lines shorter than ``least`` are left out of the edit join; equal
+lines go from ``exact`` characters on, which is ``least`` unless a caller says less: the query and its
+SQL leave lines under ``LEAST`` alone, the pipeline passes 1, so every repeated non-empty line goes.
 
 Defined results: null text has one empty line, which is kept, as every empty line is; rows with the
 same doc_id and text are one document: their lines go or stay alike; a document keeps its row even
@@ -119,11 +121,12 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
-def doomed(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def doomed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """(doc, removed, n_near): per document key, the numbers of the lines that go."""
-    lines = occurrences(docs, least)
+    every = occurrences(docs, least if exact is None else min(exact, least))
+    lines = every.filter(F.col("size") >= least)
     place = F.struct("doc_id", "doc", "pos")
-    known = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first")), "lines")
+    known = materialize(every.groupBy("h1", "h2").agg(F.min(place).alias("first")), "lines")
     index = lines.select(F.explode(_keys(F.col("line"), F.col("size"), edits, least, False)).alias("key"), "h1")
     index = index.repartition("key").dropDuplicates(["key", "h1"])
     probe = lines.select(F.explode(_keys(F.col("line"), F.col("size"), edits, least, True)).alias("key"), F.col("h1").alias("g1")).filter("key IS NOT NULL")
@@ -137,17 +140,17 @@ def doomed(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame
     late = F.col("first_a") > F.col("first_b")
     near = both.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(late, F.col("h2_a")).otherwise(F.col("h2_b")).alias("h2"))
     known = known.join(near.distinct().withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    gone = lines.select("doc_id", "doc", "pos", "h1", "h2").join(known, ["h1", "h2"])
+    gone = every.select("doc_id", "doc", "pos", "h1", "h2").join(known, ["h1", "h2"])
     gone = gone.filter(F.col("near").isNotNull() | (place != F.col("first")))
     return gone.select("doc", "pos", F.col("near").isNotNull().alias("near")).distinct().groupBy("doc").agg(
         F.sort_array(F.collect_list("pos")).alias("removed"), F.count_if("near").alias("n_near")
     )
 
 
-def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_near, removed): n_near of the removed lines have an earlier
     near line; ``removed`` lists line numbers from 0."""
-    gone = materialize(doomed(docs, edits, least), "gone")
+    gone = materialize(doomed(docs, edits, least, exact), "gone")
     rows = _documents(docs).select("doc_id", "doc", F.size("lines").cast("long").alias("n_lines")).join(gone, "doc", "left")
     return rows.select(
         "doc_id",
@@ -158,9 +161,9 @@ def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame
     )
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """The documents without the lines that go, all columns kept; a text without such lines is kept as it is."""
-    gone = materialize(doomed(docs, edits, least).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), "gone")
+    gone = materialize(doomed(docs, edits, least, exact).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), "gone")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

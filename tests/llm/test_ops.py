@@ -242,6 +242,22 @@ def test_lines(spark):
     assert lines.report(docs(spark, [])).count() == 0
 
 
+def test_short_lines_repeat_exactly(spark):
+    rows = [(2, "All rights reserved.\nAll rights reserved?"), (1, "é\n\né\nAll rights reserved."), (3, "\n\né" + "x" * 30), (4, "é"), (5, None)]
+    got = {r.doc_id: (r.removed, r.n_near) for r in lines.report(docs(spark, rows), exact=1).collect()}
+    assert got == {1: ("2", 0), 2: ("0", 0), 3: ("", 0), 4: ("0", 0), 5: ("", 0)}
+    out = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows), exact=1).collect()}
+    assert out == {1: "é\n\nAll rights reserved.", 2: "All rights reserved?", 3: rows[2][1], 4: "", 5: None}
+    assert {r.n_removed for r in lines.report(docs(spark, rows)).collect()} == {0}
+
+
+def test_pipeline_stage_removes_short_repeats(spark):
+    import corpus_pipeline
+
+    rows = docs(spark, [(1, "All rights reserved.\na"), (2, "b\nAll rights reserved.")])
+    assert {r.doc_id: r.text for r in corpus_pipeline.remove_lines(spark, rows, "").collect()} == {1: "All rights reserved.\na", 2: "b"}
+
+
 def _edits(a, b):
     if abs(len(a) - len(b)) > 2:
         return 3
