@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from symloom.llm.common import materialize, table
 
 FAN = 16
-#: Records of one archive file, on average; files hold at most FAN ** DEPTH.
+#: Records of one archive file, on average; levels of a file's tree, more where a file has more records.
 PER_FILE, DEPTH = 2_048, 4
+#: Equal records are dealt in units of so many.
+UNIT = 256
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -90,13 +92,19 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def archive(pages: DataFrame, per_file: int = PER_FILE, keep: bool = True, also: dict[str, Column] | None = None) -> DataFrame:
     """(page_id, file, ordinal, offset, length, sha[, record]): pages dealt to files by hash, in page
-    order there. Bytes are hashed where they are read, so without ``keep`` they are never shuffled;
-    ``also`` names further hashes, of bytes made from ``record``."""
+    order there. Rows of one page id and url are dealt by their bytes, equal rows in units, so no key
+    makes a file large. Bytes are hashed where they are read, so without ``keep`` they are never
+    shuffled; ``also`` names further hashes, of bytes made from ``record``."""
     files = max(1, -(-pages.count() // per_file))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), record().alias("record"))
     hashes = {"sha": F.sha2("record", 256)} | {k: F.sha2(c, 256) for k, c in (also or {}).items()}
-    rows = rows.withColumns(hashes | {"length": F.octet_length("record").cast("long"), "file": F.pmod(F.xxhash64("page_id", "url"), F.lit(files))})
-    rows = rows if keep else rows.drop("record")
+    rows = rows.withColumns(hashes | {"length": F.octet_length("record").cast("long")})
+    held = [F.first("record").alias("record")] if keep else []
+    units = rows.groupBy("page_id", "url", "length", *hashes).agg(F.count("*").alias("n"), *held)
+    units = units.withColumn("unit", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / UNIT).cast("int"))))
+    units = units.withColumn("file", F.pmod(F.xxhash64("page_id", "url", "sha", "unit"), F.lit(files))).repartition("file")
+    alike = F.least(F.lit(UNIT), F.col("n") - F.col("unit") * UNIT).cast("int")
+    rows = units.withColumn("copy", F.explode(F.sequence(F.lit(1), alike)))
     order = Window.partitionBy("file").orderBy("page_id", "url", "length", "sha")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
@@ -136,7 +144,11 @@ def _differ(nodes: DataFrame, *kept: Column) -> DataFrame:
 def audit(a: DataFrame, b: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(page_id, file, ordinal, first_byte, stop_byte, status) of the records that differ between
     replicas (file, ordinal, offset, length, sha, page_id): 'changed', 'missing' in b, 'extra' in b.
-    Ranges are replica a's where it has the record."""
+    Ranges are replica a's where it has the record. A file with more than FAN ** depth records gets
+    more levels, so that no two records share a node."""
+    last = a.select("ordinal").union(b.select("ordinal")).agg(F.max("ordinal")).first()[0] or 0
+    while last >= FAN**depth:
+        depth += 1
     level = leaves(a, depth).withColumn("replica", F.lit("a")).unionByName(leaves(b, depth).withColumn("replica", F.lit("b")))
     levels = [materialize(level, "leaves")]
     while True:

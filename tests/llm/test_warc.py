@@ -58,3 +58,21 @@ def test_equal_and_empty_replicas(pages):
     assert {r.status for r in warc.audit(good, none).collect()} == {"missing"}
     extra = warc.audit(good.filter(F.col("ordinal") > 0), good).collect()
     assert {r.status for r in extra} == {"extra"} and all(r.ordinal == 0 for r in extra)
+
+
+def test_files_larger_than_their_tree(spark):
+    rows = [(1, f, k, 10 * k, 10, f"{f}-{k}") for f in range(2) for k in range(40)]
+    a = spark.createDataFrame(rows, "page_id long, file long, ordinal long, offset long, length long, sha string")
+    b = a.filter("NOT (file = 0 AND ordinal = 20)").withColumn("sha", F.when(F.expr("file = 1 AND ordinal = 4"), F.lit("x")).otherwise(F.col("sha")))
+    found = {(r.file, r.ordinal, r.status) for r in warc.audit(a, b, depth=1).collect()}
+    assert found == {(0, 20, "missing"), (1, 4, "changed")}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_rows_of_one_key_are_dealt_over_files(spark, same):
+    html = F.lit("x") if same else F.col("id").cast("string")
+    pages = spark.range(6000).select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html"))
+    got = warc.archive(pages, 500)
+    size = [r["count"] for r in got.groupBy("file").count().collect()]
+    assert sum(size) == 6000 and max(size) < 3000 and got.select("file", "ordinal").distinct().count() == 6000
+    assert got.select("record").distinct().count() == (1 if same else 6000)
