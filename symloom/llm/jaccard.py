@@ -435,8 +435,8 @@ def _part(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part"))
 
 
-def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) of every row: the smallest doc_id that links reach."""
+def _candidates(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows' sets; the pairs of small buckets; the members of large buckets."""
     parts = partitions(docs.sparkSession)
     found = materialize(_sets(docs), "sets")
     known = found.filter("met IS NULL").drop("met")
@@ -445,11 +445,28 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = _possible(met.filter("part IS NULL").select("a", "b").distinct(), drawn, percent)
     big = met.filter("part IS NOT NULL").select("part", "a", "buckets")
     big = big.groupBy("part", "a").agg(F.flatten(F.collect_list("buckets")).alias("buckets"))
-    big = materialize(big.join(drawn.withColumnRenamed("set_id", "a"), "a"), "large")
+    return known, pairs, materialize(big.join(drawn.withColumnRenamed("set_id", "a"), "a"), "large")
+
+
+def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself, every link of distinct sets: (u, v), and (doc_id, text_key, set_id, n_links) of
+    every row, where rows of one set are copies and count as one. Large buckets are compared each with
+    each, so this grows with the links, of which a group of n near copies has up to n * n / 2."""
+    known, pairs, big = _candidates(docs, percent)
+    apart = _part(big.withColumn("root", F.col("a")), partitions(docs.sparkSession)).mapInArrow(_compare(percent, False), "a long, b long")
+    found = _links(docs, known, materialize(pairs.union(apart).distinct(), "pairs"), percent)
+    n = found.select(F.explode(F.array("u", "v")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    rows = known.join(n, "set_id", "left").select("doc_id", "text_key", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found, rows
+
+
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of every row: the smallest doc_id that links reach."""
+    parts = partitions(docs.sparkSession)
+    known, pairs, big = _candidates(docs, percent)
     stars = _part(big.withColumn("root", F.col("a")), parts).mapInArrow(_compare(percent, True), "a long, b long")
     pairs = materialize(pairs.union(stars).distinct(), "pairs")
-    links = _links(docs, known, pairs, percent)
-    root = components(links)
+    root = components(_links(docs, known, pairs, percent))
     # members of large buckets that are still apart
     now = big.join(root.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     rest = _part(now, parts).mapInArrow(_compare(percent, False), "a long, b long").distinct()

@@ -172,6 +172,20 @@ def test_classes_against_all_pairs(spark, corpus, monkeypatch, wide):
     assert jaccard.classes(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("wide", [4096, 8])
+def test_links_are_all_linked_pairs(spark, corpus, monkeypatch, wide):
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    base = corpus[6][1].split()
+    rows = [(k, " ".join(w if i not in (3 * k, 7 * (k % 9)) else "zz" for i, w in enumerate(base))) for k in range(30)] + corpus[6:16] + corpus[6:8]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.lower().split() for _, t in rows)]
+    distinct = list(dict.fromkeys(sets))
+    near = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in distinct) for a in distinct}
+    found, counts = jaccard.links(docs(spark, rows))
+    assert sum(near.values()) > 6 * len(near) and found.count() == found.distinct().count() == sum(near.values()) // 2
+    assert sorted((r.doc_id, r.n_links) for r in counts.collect()) == sorted((d, near[s]) for (d, _), s in zip(rows, sets, strict=True))
+    assert [x.count() for x in jaccard.links(docs(spark, []))] == [0, 0]
+
+
 def test_representatives(spark, corpus):
     kept = jaccard.representatives(docs(spark, corpus))
     want = {(d, c) for d, n, c in classes(corpus)}
