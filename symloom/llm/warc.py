@@ -4,7 +4,9 @@ Records are dealt to archive files and numbered in order; a record's leaf is the
 its offset range and its bytes, and every node above hashes the ordered, contiguous ranges of up to
 ``FAN`` children with their digests, up to one root for the whole replica. Equal roots settle the
 audit. Otherwise only the children of branches that differ are compared, level by level, so what is
-joined shrinks with the damage, not with the archive.
+joined shrinks with the damage, not with the archive. Replicas are laid out on their own: a shorter or
+missing record shifts all that follow in its file. Records of differing leaves are therefore aligned by
+record id within their file, and those with equal bytes are no damage, wherever they stand.
 
 Defined results: null urls and pages are empty; repeated rows are records of their own; an empty
 replica has no root and every record of the other is then missing or extra; columns other than
@@ -45,13 +47,17 @@ def record_bytes(page_id: int, url: str, html: str, date: str = DATE) -> bytes:
     return "".join(_header("response", ident, date, url, str(len(body)))).encode() + body + b"\r\n\r\n"
 
 
+def ident() -> Column:
+    """A page's record id."""
+    h = F.sha2(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("None")), F.coalesce(F.col("url"), F.lit(""))), 256)
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def record(date: str = DATE) -> Column:
     """A page's response record as bytes."""
     url, html = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))
-    h = F.sha2(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("None")), url), 256)
-    ident = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     parts = _header("response", "\0id", date, "\0uri", "\0size")
-    value = {"\0id": ident, "\0uri": url, "\0size": F.octet_length(html).cast("string")}
+    value = {"\0id": ident(), "\0uri": url, "\0size": F.octet_length(html).cast("string")}
     return F.concat(*[value.get(p, F.lit(p)) for p in parts], html, F.lit("\r\n\r\n")).cast("binary")
 
 
@@ -90,37 +96,45 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, offset long, length long, kind string, uri string, block binary")
 
 
+def _laid_out(records: DataFrame, *by: str) -> DataFrame:
+    """The records with ordinal and offset in their files, in the order of ``by``."""
+    order = Window.partitionBy("file").orderBy(*by)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumns({
+        "ordinal": (F.row_number().over(order) - 1).cast("long"),
+        "offset": F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"),
+    })
+
+
 def archive(pages: DataFrame, per_file: int = PER_FILE, keep: bool = True, also: dict[str, Column] | None = None) -> DataFrame:
-    """(page_id, file, ordinal, offset, length, sha[, record]): pages dealt to files by hash, in page
+    """(page_id, id, file, ordinal, offset, length, sha[, record]): pages dealt to files by hash, in page
     order there. Rows of one page id and url are dealt by their bytes, equal rows in units, so no key
     makes a file large. Bytes are hashed where they are read, so without ``keep`` they are never
-    shuffled; ``also`` names further hashes, of bytes made from ``record``."""
+    shuffled; ``also`` names further hashes, of bytes made from ``record``, with
+    lengths as ``length_`` and the name."""
     files = max(1, -(-pages.count() // per_file))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), record().alias("record"))
     hashes = {"sha": F.sha2("record", 256)} | {k: F.sha2(c, 256) for k, c in (also or {}).items()}
-    rows = rows.withColumns(hashes | {"length": F.octet_length("record").cast("long")})
+    sizes = {"length": F.octet_length("record").cast("long")} | {f"length_{k}": F.octet_length(c).cast("long") for k, c in (also or {}).items()}
+    rows = rows.withColumns(hashes | sizes)
     held = [F.first("record").alias("record")] if keep else []
-    units = rows.groupBy("page_id", "url", "length", *hashes).agg(F.count("*").alias("n"), *held)
+    units = rows.groupBy("page_id", "url", *sizes, *hashes).agg(F.count("*").alias("n"), *held)
     units = units.withColumn("unit", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / UNIT).cast("int"))))
     units = units.withColumn("file", F.pmod(F.xxhash64("page_id", "url", "sha", "unit"), F.lit(files))).repartition("file")
     alike = F.least(F.lit(UNIT), F.col("n") - F.col("unit") * UNIT).cast("int")
     rows = units.withColumn("copy", F.explode(F.sequence(F.lit(1), alike)))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "length", "sha")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(
-        "page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"),
-        F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", *hashes, *(["record"] if keep else []),
-    )
+    rows = _laid_out(rows, "page_id", "url", "length", "sha").withColumn("id", ident())
+    return rows.select("page_id", "id", "file", "ordinal", "offset", *sizes, *hashes, *(["record"] if keep else []))
 
 
 def leaves(records: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(node, first, stop, digest, page_id): a leaf for each record, numbered over all files."""
+    """(node, first, stop, digest, page_id, id, sha): a leaf for each record, numbered over all files."""
     text = F.concat_ws(":", F.lit("0"), "file", "offset", "length", "sha")
     place = F.col("file") * FAN**depth + F.col("ordinal")
     span = lambda at: F.struct(F.col("file").alias("file"), at.alias("offset"))
     return records.select(
         place.alias("node"), span(F.col("offset")).alias("first"), span(F.col("offset") + F.col("length")).alias("stop"),
-        F.sha2(text.cast("binary"), 256).alias("digest"), "page_id",
+        F.sha2(text.cast("binary"), 256).alias("digest"), "page_id", "id", "sha",
     )
 
 
@@ -143,7 +157,7 @@ def _differ(nodes: DataFrame, *kept: Column) -> DataFrame:
 
 def audit(a: DataFrame, b: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(page_id, file, ordinal, first_byte, stop_byte, status) of the records that differ between
-    replicas (file, ordinal, offset, length, sha, page_id): 'changed', 'missing' in b, 'extra' in b.
+    replicas (file, ordinal, offset, length, sha, page_id, id): 'changed', 'missing' in b, 'extra' in b.
     Ranges are replica a's where it has the record. A file with more than FAN ** depth records gets
     more levels, so that no two records share a node."""
     last = a.select("ordinal").union(b.select("ordinal")).agg(F.max("ordinal")).first()[0] or 0
@@ -161,11 +175,15 @@ def audit(a: DataFrame, b: DataFrame, depth: int = DEPTH) -> DataFrame:
         bad = _differ(branch)
     nodes = levels[0]
     branch = nodes.join(bad.select(F.col("node").alias("up")), F.floor(nodes["node"] / FAN) == F.col("up"), "left_semi")
-    told = F.min(F.struct("replica", "first", "stop", "page_id")).alias("told")
-    found = _differ(branch, told)
-    status = F.when(F.size("b") == 0, "missing").when(F.size("a") == 0, "extra").otherwise("changed")
+    branch = branch.join(_differ(branch).select("node"), "node", "left_semi").withColumn("file", F.col("first.file"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy("replica", "file", "id", *by).orderBy("node"))
+    alike = Window.partitionBy("file", "id", "sha", "nth")
+    alone = branch.withColumn("nth", nth("sha")).withColumn("both", F.count("*").over(alike)).filter("both = 1").withColumn("nth", nth())
+    told = F.min(F.struct("replica", "first", "stop", "page_id", "node")).alias("told")
+    found = alone.groupBy("file", "id", "nth").agg(told, F.count("*").alias("n"))
+    status = F.when(F.col("n") == 2, "changed").when(F.col("told.replica") == "a", "missing").otherwise("extra")
     return found.select(
-        F.col("told.page_id").alias("page_id"), F.col("told.first.file").alias("file"), F.pmod(F.col("node"), F.lit(FAN**depth)).alias("ordinal"),
+        F.col("told.page_id").alias("page_id"), "file", F.pmod(F.col("told.node"), F.lit(FAN**depth)).alias("ordinal"),
         F.col("told.first.offset").alias("first_byte"), F.col("told.stop.offset").alias("stop_byte"), status.alias("status"),
     )
 
@@ -184,12 +202,13 @@ def present() -> Column:
 
 
 def damaged(records: DataFrame) -> DataFrame:
-    """A replica with known damage, of records that hold their bytes."""
+    """A replica with known damage, laid out on its own, of records that hold their bytes."""
     rows = records.filter(present()).withColumn("record", harmed(F.col("record")))
-    return rows.withColumn("sha", F.sha2("record", 256))
+    return _laid_out(rows.withColumns({"sha": F.sha2("record", 256), "length": F.octet_length("record").cast("long")}), "ordinal")
 
 
 def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = archive(table(spark, sf_dir, "pages"), keep=False, also={"sha_b": harmed(F.col("record"))})
-    records = materialize(records, "records")
-    return audit(records.drop("sha_b"), records.filter(present()).withColumn("sha", F.col("sha_b")).drop("sha_b"))
+    records = materialize(archive(table(spark, sf_dir, "pages"), keep=False, also={"b": harmed(F.col("record"))}), "records")
+    a = records.drop("b", "length_b")
+    b = records.filter(present()).withColumns({"sha": F.col("b"), "length": F.col("length_b")}).drop("b", "length_b")
+    return audit(a, _laid_out(b, "ordinal"))

@@ -61,8 +61,8 @@ def test_equal_and_empty_replicas(pages):
 
 
 def test_files_larger_than_their_tree(spark):
-    rows = [(1, f, k, 10 * k, 10, f"{f}-{k}") for f in range(2) for k in range(40)]
-    a = spark.createDataFrame(rows, "page_id long, file long, ordinal long, offset long, length long, sha string")
+    rows = [(1, f"{f}-{k}", f, k, 10 * k, 10, f"{f}-{k}") for f in range(2) for k in range(40)]
+    a = spark.createDataFrame(rows, "page_id long, id string, file long, ordinal long, offset long, length long, sha string")
     b = a.filter("NOT (file = 0 AND ordinal = 20)").withColumn("sha", F.when(F.expr("file = 1 AND ordinal = 4"), F.lit("x")).otherwise(F.col("sha")))
     found = {(r.file, r.ordinal, r.status) for r in warc.audit(a, b, depth=1).collect()}
     assert found == {(0, 20, "missing"), (1, 4, "changed")}
@@ -76,3 +76,28 @@ def test_rows_of_one_key_are_dealt_over_files(spark, same):
     size = [r["count"] for r in got.groupBy("file").count().collect()]
     assert sum(size) == 6000 and max(size) < 3000 and got.select("file", "ordinal").distinct().count() == 6000
     assert got.select("record").distinct().count() == (1 if same else 6000)
+
+
+def test_shifted_records_are_no_damage(spark, pages):
+    good = warc.archive(pages, 200)
+    rest = warc._laid_out(good.filter("page_id IS NULL OR page_id <> 9"), "ordinal")
+    found = warc.audit(good, rest).collect()
+    assert [(r.page_id, r.status) for r in found] == [(9, "missing")]
+    assert [(r.page_id, r.status) for r in warc.audit(rest, good).collect()] == [(9, "extra")]
+    there = good.filter("page_id = 9").select("file", "ordinal", "offset", F.expr("offset + length")).first()
+    assert (found[0].file, found[0].ordinal, found[0].first_byte, found[0].stop_byte) == tuple(there)
+
+
+def test_one_of_equal_records_is_missing(pages):
+    good = warc.archive(pages, 10_000)
+    first = good.filter("page_id = 7").agg(F.min("ordinal")).first()[0]
+    rest = warc._laid_out(good.filter(F.col("ordinal") != first), "ordinal")
+    assert [(r.page_id, r.status) for r in warc.audit(good, rest).collect()] == [(7, "missing")]
+
+
+def test_damaged_replica_has_its_own_offsets(pages):
+    rows = warc.damaged(warc.archive(pages, 200)).orderBy("file", "ordinal").collect()
+    end: dict[int, int] = {}
+    for r in rows:
+        assert r.offset == end.get(r.file, 0) and r.length == len(r.record)
+        end[r.file] = r.offset + r.length
