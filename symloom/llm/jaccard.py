@@ -461,7 +461,8 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) of every row: the smallest doc_id that links reach."""
+    """(doc_id, text_key, n_shingles, component_id, chosen) of every row: the smallest doc_id that links
+    reach, and the (doc_id, text_key) that stands for the component, null without shingles."""
     parts = partitions(docs.sparkSession)
     known, pairs, big = _candidates(docs, percent)
     stars = _part(big.withColumn("root", F.col("a")), parts).mapInArrow(_compare(percent, True), "a long, b long")
@@ -474,21 +475,23 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if rest.limit(1).count():
         more = _links(docs, known, rest, percent)
         root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    first = known.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    first = known.filter("set_id IS NOT NULL").groupBy("set_id")
+    first = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     named = first.join(root.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("set_id", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("chosen")), "root").select("set_id", "chosen")
     return known.join(named, "set_id", "left").select(
         "doc_id",
         "text_key",
         "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("chosen.doc_id", "doc_id").alias("component_id"),
+        "chosen",
     )
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, and every document without shingles,
-    all columns kept."""
-    kept = classes(docs, percent).filter("n_shingles = 0 OR doc_id <=> component_id")
+    """One document of each group, that of the smallest doc_id and among its texts the least by hash, and
+    every document without shingles, all columns kept. Groups are told apart by links, not by ids."""
+    kept = classes(docs, percent).filter("n_shingles = 0 OR (doc_id <=> chosen.doc_id AND text_key = chosen.text_key)")
     kept = kept.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.max("n_shingles").alias("_n"))
     key = F.xxhash64(utf8())
     rows = docs.withColumn("_text", key).join(kept, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.col("_text") == F.col("_key")))

@@ -193,6 +193,14 @@ def test_representatives(spark, corpus):
     assert sorted(got) == sorted([d for d, c in want if d == c]) and kept.columns == docs(spark, []).columns
 
 
+def test_one_representative_under_repeated_and_null_ids(spark):
+    base = [[f"{c}{i}" for i in range(60)] for c in "pqr"]
+    rows = [(5, " ".join(base[0][:k])) for k in (58, 59, 60)] + [(None, " ".join(base[1][:k])) for k in (58, 59, 60)]
+    rows += [(5, " ".join(base[2])), (6, " ".join(base[2][:58])), (None, " ".join(base[2][:59])), (None, None), (None, "")]
+    got = [(r.doc_id, (r.text or "")[:1]) for r in jaccard.representatives(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(5, "p"), (5, "r"), (None, "q"), (None, ""), (None, "")], key=str)
+
+
 def test_signatures_meet_for_every_link():
     rng = np.random.default_rng(3)
     bands = jaccard.Bands()
