@@ -12,8 +12,9 @@ shares of all usable labels.
 As the model is linear after averaging, a bucket adds one number to its block's logit: executors get
 a table of ``BUCKETS`` floats, whatever the size of the corpus.
 
-The sample is bounded: at most ``PER_CLASS`` labelled texts of each class, chosen by hash, of at
-most ``LONGEST`` bytes. Scoring always reads whole texts.
+The sample is bounded: at most ``PER_CLASS`` labelled texts of each class, chosen by hash among those
+of at most ``LONGEST`` bytes. A class without such texts gives its shortest long ones, whole, as many
+as ``LONG`` bytes hold and one at least. Scoring always reads whole texts.
 
 Defined results: null and empty texts, and texts without words, score the share of toxic labels; labels
 that are null or have no document are not used, a document with several labels is toxic if one says
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.common import table
+from symloom.llm.common import materialize, table
 
 BUCKETS, WIDTH = 1 << 17, 8
 GRAMS = (3, 4, 5, 6)
 BLOCK = 96
-PER_CLASS, LONGEST = 2_000, 16_384
+PER_CLASS, LONGEST, LONG = 2_000, 16_384, 1 << 23
 RATE, BATCH = 0.5, 64
 #: Passes: as many as show so many blocks, within these bounds.
 VISITS, EPOCHS = 80_000, (4, 40)
@@ -124,12 +125,24 @@ class Model:
         return np.where(known, score, self.constant)
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about 1 MB: the arrays hold some 100 bytes per byte."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop] or "") < 1 << 20):
+            size += len(texts[stop] or "")
+            stop += 1
+        yield at, stop
+        at = stop
+
+
 def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets ordered by block, where each block's begin (and the last ends), each block's text. Made
     of some texts at a time, so that only the buckets themselves are held for all."""
     found, count, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a in range(0, len(texts), 50):
-        ids, where, own = grams(texts[a : a + 50])
+    for a, b in _slices(texts):
+        ids, where, own = grams(texts[a:b])
         found.append(ids[np.argsort(where, kind="stable")])
         count.append(np.bincount(where, minlength=len(own)))
         owner.append(own + a)
@@ -195,7 +208,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 11) ->
     model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), constant=share)
     del found, emb, emb_sum
     held = np.flatnonzero(apart) if apart.any() else fit
-    x = np.concatenate([model.logits([texts[i] for i in held[a : a + 50]]) for a in range(0, len(held), 50)])
+    kept = [texts[i] for i in held]
+    x = np.concatenate([model.logits(kept[a:b]) for a, b in _slices(kept)])
     y, x = toxic[held][np.isfinite(x)].astype(np.float64), x[np.isfinite(x)]
     if not len(y):
         return Model(None, constant=share)
@@ -229,24 +243,27 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.filter("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
-    picks = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (0, 1)]
-    chosen = picks[0].union(picks[1])
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = text.filter(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    size = text.select("doc_id", F.octet_length("text").alias("size")).join(known.filter("toxic in (0, 1)"), "doc_id")
+    # of rows with one doc_id the shortest, and of equally long ones the least
+    size = materialize(size.groupBy("doc_id", "toxic").agg(F.min("size").alias("size")), "labelled")
+    order = (F.xxhash64("doc_id"), "doc_id")
+    picks = [size.filter((F.col("toxic") == c) & (F.col("size") <= LONGEST)).orderBy(*order).limit(PER_CLASS) for c in (0, 1)]
+    some = {r["toxic"] for r in size.filter(F.col("size") <= LONGEST).select("toxic").distinct().collect()}
+    for c in {0, 1} - some:
+        found = size.filter(F.col("toxic") == c).orderBy("size", *order).limit(max(1, LONG // LONGEST)).toArrow()
+        room = np.cumsum(found.column("size").to_numpy()) <= LONG
+        room[:1] = True
+        picks[c] = size.sparkSession.createDataFrame(found.filter(pa.array(room)).to_pylist(), size.schema)
+    chosen = picks[0].union(picks[1])
+    rows = text.withColumn("size", F.octet_length("text")).join(F.broadcast(chosen), ["doc_id", "size"])
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return train(rows.column("text").to_pylist(), rows.column("toxic").to_numpy(), share, seed)
 
 
 def _score_all(model: Model, texts: list[str]) -> np.ndarray:
-    """Scores of many texts, about 1 MB at a time: the arrays hold some 100 bytes per byte."""
-    score, at = np.empty(len(texts)), 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop] or "") < 1 << 20):
-            size += len(texts[stop] or "")
-            stop += 1
-        score[at:stop] = model.scores(texts[at:stop])
-        at = stop
-    return score
+    """Scores of many texts, some at a time."""
+    return np.concatenate([np.empty(0), *(model.scores(texts[a:b]) for a, b in _slices(texts))])
 
 
 def _apply(model: Model, docs: DataFrame) -> DataFrame:

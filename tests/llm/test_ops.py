@@ -430,3 +430,26 @@ def test_toxicity(spark):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, r in got.items() if not r.predicted}
     assert {r.score for r in toxicity.toxicity(df, known.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(df.limit(0), known).count() == 0
+
+
+def test_toxicity_learns_from_a_class_of_long_texts(spark, monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 40)
+    rows, labels = [], []
+    for k in range(200):
+        bad = k % 4 == 0
+        rows.append((k, words(rng, 30) + (" gruesomely horridness " + "gruesomely " * 2000 if bad else "")))
+        labels.append((k, int(bad)))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs(spark, rows), known).collect()}
+    assert sum(got[d] == (d % 4 == 0) for d in got) >= 195
+
+
+def test_toxicity_sample_is_full_beside_long_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "PER_CLASS", 20)
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, share, seed: seen.append((texts, toxic)) or toxicity.Model(None))
+    rows = [(k, f"w{k} " * (9000 if k % 4 < 2 else 3)) for k in range(200)]
+    toxicity.fit(docs(spark, rows), spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int"))
+    texts, toxic = seen[0]
+    assert np.bincount(toxic).tolist() == [20, 20] and max(map(len, texts)) < 100
