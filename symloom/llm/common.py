@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where scratch tables go when the session names no shared folder (single-machine runs and tests).
+#: Where scratch tables go when a session that runs in one process names no shared folder (tests).
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
@@ -16,8 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and the
+    session's master is one process. On a cluster without that setting it raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or LOCAL_SCRATCH).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -3,10 +3,17 @@
 A line goes if an equal line stands before it in (doc_id, text hash, line) order, or if a line whose
 first occurrence is earlier is within ``EDITS`` edits. A line of n characters is cut into EDITS + 1
 segments; of two lines within EDITS edits one segment of the shorter is a substring of the longer,
-near its own place. The index holds (length, segment, its text) of every distinct line, and a line
-probes it for its own and the EDITS next smaller lengths at only those places that the edits left
-and right of a segment allow. Candidates are verified by a banded bit-parallel edit distance: one
-bit per diagonal of the band, one word per number of edits, one step per character.
+near its own place. The index holds (length, segment, its text) of every line, and a line probes it
+for its own and the EDITS next smaller lengths at only those places that the edits left and right of
+a segment allow. Candidates are verified by a banded bit-parallel edit distance: one bit per diagonal
+of the band, one word per number of edits, one step per character.
+
+What meets under a key is never paired as a whole. The lines of a small bucket are paired; those of a
+larger one first meet the bucket's earliest line only, which settles families of lines that are all
+alike (one earlier near line is enough). What is still unsettled is dealt again by its characters: two
+edits change at most four of the counts of characters, so of six classes of characters two hold the
+same ones in both lines (of eight classes four, in the largest buckets), and lines only meet that
+agree on their characters of such classes. Pairs whose finer classes disagree too often go unverified.
 
 Edits are counted in code points. Lines shorter than ``least`` are left out of the edit join; equal
 lines go from ``exact`` characters on, which is ``least`` unless a caller says less: the query and its
@@ -14,25 +21,34 @@ SQL leave lines under ``LEAST`` alone, the pipeline passes 1, so every repeated
 
 Defined results: null text has one empty line, which is kept, as every empty line is; rows with the
 same doc_id and text are one document: their lines go or stay alike; a document keeps its row even
-if all its lines go; an empty table gives an empty table; ``dedup_lines`` keeps other columns, and
-its own columns carry a prefix that inputs are not expected to have.
+if all its lines go, unless ``emptied`` asks ``dedup_lines`` to drop documents left without a word; an
+empty table gives an empty table; ``dedup_lines`` carries the other columns whole, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.common import materialize, table
+from symloom.llm.common import WORD, materialize, table
 
 EDITS, LEAST = 2, 24
+#: Buckets of at most so many entries pair all of them; from so many on, eight classes instead of six.
+SMALL, LARGE = 8, 1_024
+#: Classes of characters, and the finer ones that they are made of.
+COARSE, CLASSES = (6, 8), 24
+#: Line names are broadcast up to so many (16 bytes each), and joined by a shuffle beyond.
+FEW = 1_000_000
+#: A line is frequent from this share of all repeated lines on: there are at most so many of them.
+FREQUENT = 10_000
 
 
-def _part(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _part(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """(start, length) of segment i of a line: even segments, the longer ones last."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    short = F.lit(parts) - longer
-    return F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short), base + F.when(F.lit(i) >= short, 1).otherwise(0)
+    base, short = F.floor(length / parts).cast("int"), F.lit(parts) - length % parts
+    return i * base + F.greatest(F.lit(0), i - short), base + F.when(i >= short, 1).otherwise(0)
 
 
 def _probes(edits: int) -> list[tuple[int, int, int]]:
@@ -45,16 +61,21 @@ def _probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(line: Column, size: Column, edits: int, least: int, probe: bool) -> Column:
-    """Hashed (length, segment, substring) keys of a line, null where there is no such place."""
-    out = []
-    for delta, i, shift in _probes(edits) if probe else [(0, i, 0) for i in range(edits + 1)]:
-        other = size - delta
-        start, wide = _part(other, i, edits + 1)
-        start = start + shift
-        fits = (other >= least) & (start >= 0) & (start + wide <= size)
-        out.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, start + 1, wide))))
-    return F.array(*out)
+INDEX, PROBE = 1, 2
+
+
+def entries(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """(key, h1, role) of every line: hashed (length, segment, substring), in the index or as a probe or
+    both. Characters are four bytes each here, so a substring is cut without counting characters."""
+    spots = [(less, i, shift, PROBE + INDEX * (less == shift == 0)) for less, i, shift in _probes(edits)]
+    names = ("less", "i", "shift", "role")
+    spots = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, spot, strict=True)]) for spot in spots])
+    rows = lines.select("h1", "size", F.encode("line", "UTF-32").alias("raw"), F.explode(spots).alias("at"))
+    rows = rows.withColumn("other", F.col("size") - F.col("at.less")).filter(F.col("other") >= least)
+    start, wide = _part(F.col("other"), F.col("at.i"), edits + 1)
+    rows = rows.withColumns({"start": start + F.col("at.shift"), "wide": wide}).filter("start >= 0 AND start + wide <= size")
+    key = F.xxhash64("other", "at.i", F.substring("raw", F.col("start") * 4 + 1, F.col("wide") * 4))
+    return rows.select(key.alias("key"), "h1", F.col("at.role").alias("role"))
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -91,22 +112,10 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return near & (last.bitwiseAND(end) != 0)
 
 
-def _pieces(a: Column, b: Column, edits: int, parts: int = 16) -> Column:
-    """Whether all but ``edits`` of many finer segments of ``a`` stand in ``b`` near their places, as
-    they must where that many edits lie between the two: spares most pairs the edit distance."""
-    n, found = F.length(a), F.lit(0)
-    for i in range(parts):
-        start, stop = (F.floor(n * k / parts).cast("int") for k in (i, i + 1))
-        low = F.greatest(start - edits, F.lit(0))
-        there = F.contains(F.substring(b, low + 1, stop + edits - low), F.substring(a, start + 1, stop - start))
-        found = found + there.cast("int")
-    return found >= parts - edits
-
-
 def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The pairs whose texts ``line_a`` and ``line_b`` are within ``edits`` edits."""
     a, b = F.col("line_a"), F.col("line_b")
-    return pairs.filter(_pieces(a, b, edits) & within(a, b, edits))
+    return pairs.filter(within(a, b, edits))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -121,28 +130,106 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
+PLACE = ("doc_id", "doc", "pos")
+NAME = ["h1", "h2"]
+
+
+def _repeated(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h1, h2, first, k) of the lines that occur more than once; those of them that are frequent, which
+    are few by definition."""
+    found = every.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    found = materialize(found, "repeated")
+    total = found.agg(F.sum("k")).first()[0] or 0
+    return found, found.filter(F.col("k") >= max(64, total // FREQUENT))
+
+
+def members(lines: DataFrame, often: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """(key, h1, role) of the lines that share a key of the index with another line. Occurrences of a
+    frequent line are made one first, so that it weighs no more than any other."""
+    often = F.broadcast(often.select(*NAME))
+    once = lines.join(often, NAME, "left_semi").groupBy(*NAME, "size").agg(F.min("line").alias("line"))
+    rare = lines.join(often, NAME, "left_anti").select(*NAME, "size", "line")
+    dealt = entries(rare, edits, least).unionByName(entries(once, edits, least)).repartition("key")
+    met = dealt.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.bit_or("role").alias("roles"))
+    met = met.filter((F.col("low") != F.col("high")) & (F.col("roles") == INDEX + PROBE)).select("key")
+    return materialize(dealt.join(met.hint("shuffle_hash"), "key").distinct(), "members")
+
+
+def facts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, line, size, first, sums, sums6, sums8) of the lines named by ``wanted``: their first places, and for
+    each class the sum of the hashes of the line's characters in it."""
+    hint = F.broadcast if wanted.limit(FEW + 1).count() <= FEW else (lambda df: df)
+    found = lines.join(hint(wanted), "h1", "left_semi").groupBy(*NAME, "size")
+    found = materialize(found.agg(F.min(F.struct(*PLACE)).alias("first"), F.min("line").alias("line")), "lines")
+    chars = found.select(*NAME, F.explode(F.split("line", "")).alias("c")).withColumn("r", F.xxhash64("c"))
+    value, of = F.col("r").bitwiseAND(F.lit((1 << 32) - 1)), F.pmod(F.shiftrightunsigned("r", 40), F.lit(CLASSES))
+    sums = chars.select(*NAME, value.alias("value"), of.alias("of")).groupBy(*NAME).agg(
+        *[F.sum(F.when(F.col("of") == k, F.col("value")).otherwise(0)).alias(f"s{k}") for k in range(CLASSES)]
+    )
+    coarse = lambda n: F.array(*[sum((F.col(f"s{k}") for k in range(c + n, CLASSES, n)), F.col(f"s{c}")) for c in range(n)])
+    sums = sums.select(*NAME, coarse(CLASSES).alias("sums"), *[coarse(n).alias(f"sums{n}") for n in COARSE])
+    return materialize(found.join(sums, NAME), "facts")
+
+
+def _agreeing(rows: DataFrame, classes: int, edits: int) -> DataFrame:
+    """A row for each choice of classes of which lines within ``edits`` edits agree on one, with ``again``
+    as the hash of the key and the line's characters of those classes."""
+    some = combinations(range(classes), classes - 2 * edits)
+    some = F.array(*[F.array(*[F.lit(c) for c in chosen]) for chosen in some])
+    rows = rows.select("key", "h1", "role", "first", "size", F.col(f"sums{classes}").alias("part"), F.explode(some).alias("chosen"))
+    again = F.xxhash64("key", "chosen", F.transform("chosen", lambda c: F.get(F.col("part"), c)))
+    return rows.select("h1", "role", "first", "size", again.alias("again"))
+
+
+def _pairs(rows: DataFrame, open_: DataFrame, key: str, edits: int) -> DataFrame:
+    """(a, b): a's of ``open_`` with earlier b's of ``rows`` under one key, one in the index and one a probe."""
+    a = open_.select(key, F.col("h1").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("role", "first", "size")])
+    b = rows.select(key, F.col("h1").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("role", "first", "size")])
+    fits = (F.col("first_b") < F.col("first_a")) & (F.abs(F.col("size_a") - F.col("size_b")) <= edits)
+    fits = fits & (F.col("role_a").bitwiseOR(F.col("role_b")) == INDEX + PROBE)
+    return a.join(b, key).filter(fits).select("a", "b")
+
+
+def _settled(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
+    """(h1, h2) of the lines a that are near their b."""
+    side = lambda s: known.select(F.col("h1").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h2", "line", "first", "sums")])
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter("first_b < first_a")
+    apart = F.size(F.filter(F.zip_with("sums_a", "sums_b", lambda x, y: x != y), lambda x: x))
+    near = verified(both.filter(apart <= 2 * edits), edits)
+    return materialize(near.select(F.col("a").alias("h1"), F.col("h2_a").alias("h2")).distinct(), "near")
+
+
+def near_lines(lines: DataFrame, often: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """(h1, h2) of the lines that an earlier line is within ``edits`` edits of."""
+    met = members(lines, often, edits, least)
+    known = facts(lines, met.select("h1").distinct())
+    sized = met.groupBy("key").agg(F.count("*").alias("n"))
+    placed = materialize(met.join(sized, "key").join(known.select("h1", "first", "size", *[f"sums{n}" for n in COARSE]), "h1"), "placed")
+    small, big = placed.filter(F.col("n") <= SMALL), placed.filter(F.col("n") > SMALL)
+    earliest = big.groupBy("key").agg(F.min(F.struct("first", "h1")).alias("least")).select("key", F.col("least.h1").alias("b"))
+    stars = big.join(earliest, "key").filter("h1 <> b").select(F.col("h1").alias("a"), "b")
+    near = _settled(_pairs(small, small, "key", edits).union(stars), known, edits)
+    few, many = COARSE
+    dealt = _agreeing(big.filter(F.col("n") < LARGE), few, edits).union(_agreeing(big.filter(F.col("n") >= LARGE), many, edits))
+    still = dealt.join(near.select("h1"), "h1", "left_anti")
+    return near.union(_settled(_pairs(dealt, still, "again", edits), known, edits))
+
+
 def doomed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """(doc, removed, n_near): per document key, the numbers of the lines that go."""
     every = occurrences(docs, least if exact is None else min(exact, least))
-    lines = every.filter(F.col("size") >= least)
-    place = F.struct("doc_id", "doc", "pos")
-    known = materialize(every.groupBy("h1", "h2").agg(F.min(place).alias("first")), "lines")
-    index = lines.select(F.explode(_keys(F.col("line"), F.col("size"), edits, least, False)).alias("key"), "h1")
-    index = index.repartition("key").dropDuplicates(["key", "h1"])
-    probe = lines.select(F.explode(_keys(F.col("line"), F.col("size"), edits, least, True)).alias("key"), F.col("h1").alias("g1")).filter("key IS NOT NULL")
-    met = probe.join(index, "key").filter("g1 <> h1")
-    pairs = materialize(met.select(F.least("g1", "h1").alias("a"), F.greatest("g1", "h1").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    texts = lines.select("h1", "h2", "line").join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"])
-    texts = materialize(texts.join(known, ["h1", "h2"]), "texts")
-    side = lambda s: texts.select(F.col("h1").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h2", "line", "first")])
-    both = verified(pairs.join(side("a"), "a").join(side("b"), "b"), edits)
-    late = F.col("first_a") > F.col("first_b")
-    near = both.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(late, F.col("h2_a")).otherwise(F.col("h2_b")).alias("h2"))
-    known = known.join(near.distinct().withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    gone = every.select("doc_id", "doc", "pos", "h1", "h2").join(known, ["h1", "h2"])
-    gone = gone.filter(F.col("near").isNotNull() | (place != F.col("first")))
-    return gone.select("doc", "pos", F.col("near").isNotNull().alias("near")).distinct().groupBy("doc").agg(
+    repeated, often = _repeated(every)
+    near = near_lines(every.filter(F.col("size") >= least), often, edits, least)
+    known = repeated.drop("k").join(near.withColumn("near", F.lit(True)), NAME, "full")
+    # frequent lines are known to every task, and their occurrences are not dealt by line
+    most = F.broadcast(often.select(*NAME).join(known, NAME).select(*NAME, F.struct("first", "near").alias("most")))
+    place = F.struct(*PLACE)
+    rows = every.select(*PLACE, *NAME).join(most, NAME, "left")
+    rows = rows.withColumn("h1", F.when(F.col("most").isNull(), F.col("h1")).otherwise(F.xxhash64(*PLACE)))
+    rows = rows.join(known.join(most, NAME, "left_anti"), NAME, "left")
+    first, close = F.coalesce("first", "most.first"), F.coalesce("near", "most.near").isNotNull()
+    gone = rows.select("doc", "pos", close.alias("near"), (place != first).alias("later")).filter("near OR later")
+    return gone.select("doc", "pos", "near").distinct().groupBy("doc").agg(
         F.sort_array(F.collect_list("pos")).alias("removed"), F.count_if("near").alias("n_near")
     )
 
@@ -161,13 +248,18 @@ def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int |
     )
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
-    """The documents without the lines that go, all columns kept; a text without such lines is kept as it is."""
-    gone = materialize(doomed(docs, edits, least, exact).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), "gone")
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None, emptied: bool = True) -> DataFrame:
+    """The documents without the lines that go, all columns kept; a text without such lines is kept as
+    it is. Without ``emptied`` a document that had words and has none left goes too."""
+    gone = materialize(doomed(docs, edits, least, exact).select("doc", "removed"), "gone")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return docs.withColumn("_doc", key).join(gone, "_doc", "left").withColumn("text", text).select(*docs.columns)
+    rows = docs.select(key.alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, "doc", "left")
+    kept = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    rows = rows.select("row", "removed", text.alias("text"))
+    if not emptied:
+        rows = rows.filter(F.col("removed").isNull() | F.col("text").rlike(WORD) | ~F.col("row.text").rlike(WORD))
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
