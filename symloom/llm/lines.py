@@ -11,9 +11,9 @@ of the band, one word per number of edits, one step per character.
 What meets under a key is never paired as a whole. The lines of a small bucket are paired; those of a
 larger one first meet the bucket's earliest line only, which settles families of lines that are all
 alike (one earlier near line is enough). What is still unsettled is dealt again by its characters: two
-edits change at most four of the counts of characters, so of six classes of characters two hold the
-same ones in both lines (of eight classes four, in the largest buckets), and lines only meet that
-agree on their characters of such classes. Pairs whose finer classes disagree too often go unverified.
+edits change the counts of characters by four in all, so of six classes of characters two hold as many
+in both lines (of eight classes four, in the largest buckets), and lines only meet that agree on the
+counts of such classes. Pairs whose counts differ by more than four in all go unverified.
 
 Edits are counted in code points. Lines shorter than ``least`` are left out of the edit join; equal
 lines go from ``exact`` characters on, which is ``least`` unless a caller says less: the query and its
@@ -156,28 +156,25 @@ def members(lines: DataFrame, often: DataFrame, edits: int = EDITS, least: int =
 
 
 def facts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, h2, line, size, first, sums, sums6, sums8) of the lines named by ``wanted``: their first places, and for
-    each class the sum of the hashes of the line's characters in it."""
+    """(h1, h2, line, size, first, counts) of the lines named by ``wanted``: their first places, and how
+    many of a line's characters are in each finer class."""
     hint = F.broadcast if wanted.limit(FEW + 1).count() <= FEW else (lambda df: df)
     found = lines.join(hint(wanted), "h1", "left_semi").groupBy(*NAME, "size")
     found = materialize(found.agg(F.min(F.struct(*PLACE)).alias("first"), F.min("line").alias("line")), "lines")
-    chars = found.select(*NAME, F.explode(F.split("line", "")).alias("c")).withColumn("r", F.xxhash64("c"))
-    value, of = F.col("r").bitwiseAND(F.lit((1 << 32) - 1)), F.pmod(F.shiftrightunsigned("r", 40), F.lit(CLASSES))
-    sums = chars.select(*NAME, value.alias("value"), of.alias("of")).groupBy(*NAME).agg(
-        *[F.sum(F.when(F.col("of") == k, F.col("value")).otherwise(0)).alias(f"s{k}") for k in range(CLASSES)]
-    )
-    coarse = lambda n: F.array(*[sum((F.col(f"s{k}") for k in range(c + n, CLASSES, n)), F.col(f"s{c}")) for c in range(n)])
-    sums = sums.select(*NAME, coarse(CLASSES).alias("sums"), *[coarse(n).alias(f"sums{n}") for n in COARSE])
-    return materialize(found.join(sums, NAME), "facts")
+    chars = found.select(*NAME, F.explode(F.split("line", "")).alias("c"))
+    of = F.pmod(F.xxhash64("c"), F.lit(CLASSES))
+    counts = chars.select(*NAME, of.alias("of")).groupBy(*NAME).agg(*[F.count_if(F.col("of") == k).alias(f"n{k}") for k in range(CLASSES)])
+    counts = counts.select(*NAME, F.array(*[f"n{k}" for k in range(CLASSES)]).alias("counts"))
+    return materialize(found.join(counts, NAME), "facts")
 
 
 def _agreeing(rows: DataFrame, classes: int, edits: int) -> DataFrame:
     """A row for each choice of classes of which lines within ``edits`` edits agree on one, with ``again``
-    as the hash of the key and the line's characters of those classes."""
-    some = combinations(range(classes), classes - 2 * edits)
-    some = F.array(*[F.array(*[F.lit(c) for c in chosen]) for chosen in some])
-    rows = rows.select("key", "h1", "role", "first", "size", F.col(f"sums{classes}").alias("part"), F.explode(some).alias("chosen"))
-    again = F.xxhash64("key", "chosen", F.transform("chosen", lambda c: F.get(F.col("part"), c)))
+    as the hash of the key and the counts of those classes."""
+    some = combinations(range(classes), max(0, classes - 2 * edits))
+    some = ", ".join("array(" + ", ".join(str(k) for c in chosen for k in range(c, CLASSES, classes)) + ")" for chosen in some)
+    rows = rows.select("key", "h1", "role", "first", "size", "counts", F.expr(f"explode(array({some}))").alias("chosen"))
+    again = F.xxhash64("key", "chosen", F.transform("chosen", lambda c: F.get(F.col("counts"), c)))
     return rows.select("h1", "role", "first", "size", again.alias("again"))
 
 
@@ -192,9 +189,9 @@ def _pairs(rows: DataFrame, open_: DataFrame, key: str, edits: int) -> DataFrame
 
 def _settled(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     """(h1, h2) of the lines a that are near their b."""
-    side = lambda s: known.select(F.col("h1").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h2", "line", "first", "sums")])
+    side = lambda s: known.select(F.col("h1").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h2", "line", "first", "counts")])
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter("first_b < first_a")
-    apart = F.size(F.filter(F.zip_with("sums_a", "sums_b", lambda x, y: x != y), lambda x: x))
+    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
     near = verified(both.filter(apart <= 2 * edits), edits)
     return materialize(near.select(F.col("a").alias("h1"), F.col("h2_a").alias("h2")).distinct(), "near")
 
@@ -204,15 +201,16 @@ def near_lines(lines: DataFrame, often: DataFrame, edits: int = EDITS, least: in
     met = members(lines, often, edits, least)
     known = facts(lines, met.select("h1").distinct())
     sized = met.groupBy("key").agg(F.count("*").alias("n"))
-    placed = materialize(met.join(sized, "key").join(known.select("h1", "first", "size", *[f"sums{n}" for n in COARSE]), "h1"), "placed")
+    placed = met.join(sized, "key").join(known.select("h1", "first", "size", "counts"), "h1")
+    placed = materialize(placed.repartition("h1"), "placed")
     small, big = placed.filter(F.col("n") <= SMALL), placed.filter(F.col("n") > SMALL)
     earliest = big.groupBy("key").agg(F.min(F.struct("first", "h1")).alias("least")).select("key", F.col("least.h1").alias("b"))
     stars = big.join(earliest, "key").filter("h1 <> b").select(F.col("h1").alias("a"), "b")
     near = _settled(_pairs(small, small, "key", edits).union(stars), known, edits)
     few, many = COARSE
-    dealt = _agreeing(big.filter(F.col("n") < LARGE), few, edits).union(_agreeing(big.filter(F.col("n") >= LARGE), many, edits))
-    still = dealt.join(near.select("h1"), "h1", "left_anti")
-    return near.union(_settled(_pairs(dealt, still, "again", edits), known, edits))
+    dealt = lambda rows: _agreeing(rows.filter(F.col("n") < LARGE), few, edits).union(_agreeing(rows.filter(F.col("n") >= LARGE), many, edits))
+    still = big.join(near.select("h1"), "h1", "left_anti")
+    return near.union(_settled(_pairs(dealt(big), dealt(still), "again", edits), known, edits))
 
 
 def doomed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
