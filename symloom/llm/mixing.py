@@ -4,10 +4,10 @@ Each document gets the rate r = min(most, exp(lambda * size / scale)) of its sou
 in [0, most], those closest to 1 in relative entropy whose expected words meet the source's target.
 The convex dual has one multiplier per source; safeguarded Newton steps (a bisection where a step
 leaves its bracket) run for all sources at once over the counts of each (source, size), which a
-partial aggregation makes before the only wide shuffle. Rates become whole copies: running sums of
+partial aggregation makes before the only wide shuffle. Its sums are decimals, so no order of adding changes them. Rates become whole copies: running sums of
 the expected copies are rounded per size, a short walk over a source's sizes from large to small
 removes the words still missing or left over, and the documents of one size share its copies by
-their hash rank, taken in salted sub-groups.
+their hash rank, taken in salted sub-groups. Nothing depends on the session's number of partitions.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of
 its own, last in order; a source without words has target 0; repeated rows are documents of their
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import WORD, materialize, partitions, table
+from symloom.llm.common import WORD, materialize, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -28,6 +28,10 @@ MOST = 3
 TOLERANCE, STEPS = 1e-9, 40
 #: Bounds of a multiplier: rates from e**-40 (none) up, sizes being scaled to 1 on average.
 REACH = 40.0
+#: Summed in any order, these give the same.
+EXACT = "decimal(28, 6)"
+#: Sub-groups of the documents of one source and size: a fixed number, as it decides who takes odd copies.
+SALTS = 1_024
 
 
 def words(column: str = "text") -> Column:
@@ -83,8 +87,8 @@ def rates(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
             cells.join(hint(state), KEY)
             .groupBy(*KEY, "source_size", "target", "scale", "dual", "low", "high", "done")
             .agg(
-                F.sum(F.col("n") * F.col("size") * rate).alias("value"),
-                F.sum(F.when(rate < float(most), F.col("n") * F.col("size") * rate * x).otherwise(0.0)).alias("slope"),
+                F.sum((F.col("n") * F.col("size") * rate).cast(EXACT)).cast("double").alias("value"),
+                F.sum(F.when(rate < float(most), F.col("n") * F.col("size") * rate * x).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"),
             )
         )
         off = F.col("value") - F.col("target")
@@ -149,15 +153,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, r
     """(doc_id, source, size, source_size, target, rate, copies) for every document; with ``rows``
     also the whole input row as struct ``row``."""
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
-    salts = 4 * partitions(docs.sparkSession)
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         words().alias("size"),
+        F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]).alias("tie"),
         *carried,
     )
-    base = materialize(base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))), "mix-sizes")
+    base = materialize(base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS))), "mix-sizes")
     salted = base.groupBy(*KEY, "size", "salt").agg(F.count("*").alias("k"))
     cells = materialize(salted.groupBy(*KEY, "size").agg(F.sum("k").alias("n")), "mix-cells")
     goals = targets(cells, weights, most)
@@ -169,7 +173,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, r
     # rank of a document within its (source, size): offset of its salted sub-group, then its place there
     before = Window.partitionBy(*KEY, "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     place = salted.withColumn("base", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k").join(given, [*KEY, "size"])
-    within = Window.partitionBy(*KEY, "size", "salt").orderBy("doc_id")
+    within = Window.partitionBy(*KEY, "size", "salt").orderBy("doc_id", "tie")
     out = base.join(place, [*KEY, "size", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
     whole = F.floor(F.col("copies") / F.col("n")).cast("long")
     mine = whole + F.when(F.col("rank") < F.col("copies") - whole * F.col("n"), 1).otherwise(0)
