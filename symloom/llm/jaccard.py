@@ -16,7 +16,7 @@ still paired. Pairs are verified exactly on the texts' sets. Copies of a set cou
 
 Defined results: null, empty and word-less texts have no shingles and are linked with nothing;
 repeated rows are copies; an empty table gives an empty table; other columns are not read by
-``classes`` and kept by ``representatives``.
+``classes`` and carried whole, inside one struct, by ``representatives``, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -435,11 +435,21 @@ def _part(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part"))
 
 
+#: Shingles whose signatures one partition takes: some 20 MB of them.
+SHINGLES = 4_000_000
+
+
+def _parts(known: DataFrame) -> int:
+    """Partitions for signatures: the session's number, more where the sets would make those large."""
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    return max(partitions(known.sparkSession), -(-total // SHINGLES))
+
+
 def _candidates(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows' sets; the pairs of small buckets; the members of large buckets."""
-    parts = partitions(docs.sparkSession)
     found = materialize(_sets(docs), "sets")
     known = found.filter("met IS NULL").drop("met")
+    parts = _parts(known)
     drawn = known.filter("set_id IS NOT NULL").select("set_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set_id"])
     met = materialize(_part(_blocks(docs, parts, percent, _frequent(found)), parts).mapInArrow(_meet(parts), MET), "met")
     pairs = _possible(met.filter("part IS NULL").select("a", "b").distinct(), drawn, percent)
@@ -453,7 +463,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     every row, where rows of one set are copies and count as one. Large buckets are compared each with
     each, so this grows with the links, of which a group of n near copies has up to n * n / 2."""
     known, pairs, big = _candidates(docs, percent)
-    apart = _part(big.withColumn("root", F.col("a")), partitions(docs.sparkSession)).mapInArrow(_compare(percent, False), "a long, b long")
+    apart = _part(big.withColumn("root", F.col("a")), _parts(known)).mapInArrow(_compare(percent, False), "a long, b long")
     found = _links(docs, known, materialize(pairs.union(apart).distinct(), "pairs"), percent)
     n = found.select(F.explode(F.array("u", "v")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     rows = known.join(n, "set_id", "left").select("doc_id", "text_key", "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -463,8 +473,8 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, chosen) of every row: the smallest doc_id that links
     reach, and the (doc_id, text_key) that stands for the component, null without shingles."""
-    parts = partitions(docs.sparkSession)
     known, pairs, big = _candidates(docs, percent)
+    parts = _parts(known)
     stars = _part(big.withColumn("root", F.col("a")), parts).mapInArrow(_compare(percent, True), "a long, b long")
     pairs = materialize(pairs.union(stars).distinct(), "pairs")
     root = components(_links(docs, known, pairs, percent))
@@ -493,10 +503,11 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     every document without shingles, all columns kept. Groups are told apart by links, not by ids."""
     kept = classes(docs, percent).filter("n_shingles = 0 OR (doc_id <=> chosen.doc_id AND text_key = chosen.text_key)")
     kept = kept.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.max("n_shingles").alias("_n"))
-    key = F.xxhash64(utf8())
-    rows = docs.withColumn("_text", key).join(kept, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.col("_text") == F.col("_key")))
-    copy = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy("_key"))
-    return rows.withColumn("_copy", copy).filter("_copy = 1 OR _n = 0").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(utf8()).alias("key"), whole)
+    rows = rows.join(kept, rows["doc"].eqNullSafe(kept["_doc"]) & (rows["key"] == kept["_key"]))
+    copy = F.row_number().over(Window.partitionBy("doc", "key").orderBy("key"))
+    return rows.withColumn("copy", copy).filter("copy = 1 OR _n = 0").select("row.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
