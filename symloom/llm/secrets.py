@@ -3,10 +3,11 @@
 Each rule's regex gives a Boolean trigram query. The index holds postings (trigram, doc_id) of the
 trigrams that some rule asks for; postings are intersected per document by or-ing trigram bits and
 testing every rule's query on them, and only the rules whose query holds are run on the text. A
-rule without mandatory trigrams is run on every text.
+rule without mandatory trigrams is run on every text. Candidates are named to every task up to
+``FEW`` of them, so texts stay where they are read, and joined by a shuffle beyond.
 
 Spans come from two passes of one regex: the matches, and the gaps between them, whose lengths in
-code points add up to positions. Matches too short for their rule are dropped after matching, as
+code points add up to positions by doubling steps, each over the whole array. Matches too short for their rule are dropped after matching, as
 they use up the characters that they cover.
 
 Defined results: null text is empty text; rows without a doc_id are scanned by every rule; repeated
@@ -50,6 +51,8 @@ MORE = (
     Rule("url_login", r"[a-z]+://[A-Za-z0-9_.-]+:[A-Za-z0-9_.-]+@"),
 )
 RULES = BASE + MORE
+#: Candidates are broadcast up to so many (some 20 bytes each).
+FEW = 1_000_000
 
 
 class Plan:
@@ -94,23 +97,26 @@ def candidates(index: DataFrame, plan: Plan) -> DataFrame:
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def spans(text: Column, rule: Rule, number: int) -> Column:
-    """All spans of a rule in a text, kinds by their number."""
-    pattern = F.lit(rule.pattern)
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
-    value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    rows = F.arrays_zip(found.alias("found"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), value.alias("value"))
+def matches(text: Column, rule: Rule) -> Column:
+    """(n, stop, kept) of a rule's matches in order: length, that of the gap before added, whether the
+    match is long enough. The gap after the last match ends the array with nulls."""
+    found, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
+    # a match alone matches as it did in its text: no pattern looks around itself
+    value = (lambda m: F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else (lambda m: m)
+    both = lambda m, gap: F.struct(
+        F.length(m).alias("n"), (F.length(gap) + F.length(m)).alias("stop"), (F.length(value(m)) >= rule.least).alias("kept")
+    )
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.zip_with(found, gaps, both))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"))
-        out = F.when(F.length(x["value"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), out.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    all_spans = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, pattern), all_spans).otherwise(F.array().cast(SPANS))
+def spans(found: Column, number: int) -> Column:
+    """The spans of a rule's matches, kinds by their number."""
+    stops = F.transform(found, lambda x: x["stop"])
+    # after the step of p every stop is the sum over the last 2 * p matches
+    powers = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < F.size(found))
+    stops = F.aggregate(powers, stops, lambda acc, p: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - p), F.lit(0))))
+    span = lambda x, stop: F.when(x["kept"], F.struct((stop - x["n"]).alias("start"), F.lit(number).alias("kind"), stop.alias("stop")))
+    return F.coalesce(F.filter(F.zip_with(found, stops, span), lambda x: x.isNotNull()), F.array().cast(SPANS))
 
 
 def _least(rule: Rule) -> Rule:
@@ -126,16 +132,18 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     plan = Plan(rules)
     index = materialize(postings(docs, plan), "postings")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.join(candidates(index, plan), "doc_id", "left")
-    text, none = F.col("text"), F.array().cast(SPANS)
-    parts = []
+    wanted = materialize(candidates(index, plan), "candidates")
+    few = wanted.limit(FEW + 1).count() <= FEW
+    rows = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left")
+    met = {}
     for k, rule in enumerate(rules):
-        found = spans(text, _least(rule), k)
+        found = matches(F.col("text"), _least(rule))
         if plan.queries[k] != trigrams.ANY:
-            wanted = F.col("doc_id").isNull() | (F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0)
-            found = F.when(wanted, found).otherwise(none)
-        parts.append(found)
-    return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("found"))
+            met_by = F.col("doc_id").isNull() | (F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0)
+            found = F.when(met_by, found)
+        met[f"found{k}"] = found
+    rows = rows.select("doc_id", *[c.alias(name) for name, c in met.items()])
+    return rows.select("doc_id", F.array_sort(F.concat(*[spans(F.col(name), k) for k, name in enumerate(met)])).alias("found"))
 
 
 def _joined(found: Column, rules: tuple[Rule, ...]) -> Column:
