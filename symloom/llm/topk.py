@@ -6,9 +6,9 @@ squared distance, n * ((mean_a - mean_b)^2 + (dev_a - dev_b)^2), read for a give
 Pairs whose coarse bound is below the query's k-th best score so far are dropped, then those whose
 fine bound is, and only the rest are computed exactly, in integers.
 
-Queries go in chunks of bounded size, one pass over the vectors for each: a chunk is the only thing
-sent to executors, each task keeps the k best per query of its own rows, and the tasks' short lists
-meet by query.
+Queries go in chunks of bounded size, one pass over the vectors for each, whose result is written
+before the next begins: a chunk is the only thing sent to executors and is released after its pass,
+each task keeps the k best per query of its own rows, and the tasks' short lists meet by query.
 
 Defined results: vectors that are null or hold null or non-finite values take no part; vectors of
 unequal length are compared over the positions both have; rows with the query's own id are not its
@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import table
+from symloom.llm.common import materialize, table
 
-#: Most queries of one pass, and rows of vectors and of queries that meet in memory at once.
-CHUNK, ROWS, QUERIES = 65_536, 8_192, 1_024
+#: Bytes of queries of one pass, and rows of vectors and of queries that meet in memory at once.
+CHUNK, ROWS, QUERIES = 64 << 20, 8_192, 1_024
 SEGMENTS = (4, 16)
 SCALE = 256
 
@@ -119,8 +120,8 @@ def _exact(best: Best, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, q
 FOUND = "query long, vec_id long, score long"
 
 
-def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """One pass for one chunk of queries (``vec_id``, ``embedding``)."""
+def _search(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """One pass for one chunk of queries (``vec_id``, ``embedding``), and what it has sent to the tasks."""
     asked = queries.toArrow()
     own, wanted = asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"))
     sent = vectors.sparkSession.sparkContext.broadcast((own, wanted))
@@ -144,18 +145,37 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ids = vectors.sparkSession.createDataFrame(pa.table({"query": np.arange(len(own)), "query_id": own}), "query long, query_id long")
     found = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
-    return found.join(F.broadcast(ids), "query").select("query_id", "rank", "vec_id", "score")
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk: int = CHUNK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` highest scores among the other vectors."""
+    found = found.join(F.broadcast(ids), "query").select("query_id", "rank", "vec_id", "score")
+    return found, sent
+
+
+def _numbered(queries: DataFrame) -> tuple[DataFrame, int]:
+    """The queries, written, with numbers from 0 without gaps; how many they are."""
+    rows = materialize(queries.withColumn("place", F.monotonically_increasing_id()), "queries")
+    part = F.shiftright("place", 33)
+    counts = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    first, total = {}, 0
+    for k in sorted(counts):
+        first[k], total = total, total + counts[k]
+    starts = rows.sparkSession.createDataFrame(list(first.items()), "part long, first long")
+    rows = rows.withColumn("part", part).join(F.broadcast(starts), "part")  # a row for each task that wrote queries
+    return rows.select("vec_id", "embedding", (F.col("first") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("number")), total
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's ``k`` highest scores among the other vectors. Chunks
+    run one after another; the driver and the tasks hold one of them, of ``CHUNK`` bytes, at a time."""
     vectors = vectors.filter(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     queries = queries.filter(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    chunks = -(-queries.count() // chunk) or 1
+    queries, n = _numbered(queries)
+    if chunk is None:
+        width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+        chunk = max(1, CHUNK // (8 * max(1, width)))
     out = None
-    for i in range(chunks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == i) if chunks > 1 else queries
-        found = _search(vectors, part, k)
+    for at in range(0, max(n, 1), chunk):
+        found, sent = _search(vectors, queries.filter(F.col("number").between(at, at + chunk - 1)), k)
+        found = materialize(found, "found")
+        sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
