@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import json
 import os
 import re
@@ -36,10 +35,12 @@ def main() -> None:
     from symloom.plans import catalog
 
     queries = {n: catalog.QUERIES[n] for n in HEADLINE}
-    if importlib.util.find_spec("symloom.llm"):
+    try:
         from symloom.llm import entries
 
         queries |= entries.QUERIES
+    except ImportError:
+        pass
     catalog.QUERIES["encode_symbols"](spark, sf_dir).count()  # starts the JVM's and Python's workers
     took = {}
     for name, query in queries.items():

@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages over ``documents``: toxic documents go, near-repeated lines go,
 one document of each near-duplicate group stays, sources are mixed to their target weights (a
-document stands once per copy), and what is left is packed into sequences."""
+document stands once per copy), and what is left is packed into sequences. A document that line dedup
+leaves without a word keeps its row until the mix, which takes no document of size 0; one of which some
+lines are left goes on with those."""
 
 from __future__ import annotations
 
