@@ -12,8 +12,9 @@ What meets under a key is never paired as a whole. The lines of a small bucket a
 larger one first meet the bucket's earliest line only, which settles families of lines that are all
 alike (one earlier near line is enough). What is still unsettled is dealt again by its characters: two
 edits change the counts of characters by four in all, so of six classes of characters two hold as many
-in both lines (of eight classes four, in the largest buckets), and lines only meet that agree on the
-counts of such classes. Pairs whose counts differ by more than four in all go unverified.
+in both lines (of eight classes four and of twelve eight, in ever larger buckets), and lines only meet
+that agree on the counts of such classes. Pairs whose counts differ by more than four in all are let go
+where they meet.
 
 Edits are counted in code points. Lines shorter than ``least`` are left out of the edit join; equal
 lines go from ``exact`` characters on, which is ``least`` unless a caller says less: the query and its
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 from symloom.llm.common import WORD, materialize, table
 
 EDITS, LEAST = 2, 24
-#: Buckets of at most so many entries pair all of them; from so many on, eight classes instead of six.
-SMALL, LARGE = 8, 1_024
+#: Buckets of at most so many entries pair all of them; from so many on, more classes are used.
+SMALL, LARGE = 8, (1_024, 65_536)
 #: Classes of characters, and the finer ones that they are made of.
-COARSE, CLASSES = (6, 8), 24
+COARSE, CLASSES = (6, 8, 12), 24
 #: Line names are broadcast up to so many (16 bytes each), and joined by a shuffle beyond.
 FEW = 1_000_000
 #: A line is frequent from this share of all repeated lines on: there are at most so many of them.
@@ -175,24 +176,29 @@ def _agreeing(rows: DataFrame, classes: int, edits: int) -> DataFrame:
     some = ", ".join("array(" + ", ".join(str(k) for c in chosen for k in range(c, CLASSES, classes)) + ")" for chosen in some)
     rows = rows.select("key", "h1", "role", "first", "size", "counts", F.expr(f"explode(array({some}))").alias("chosen"))
     again = F.xxhash64("key", "chosen", F.transform("chosen", lambda c: F.get(F.col("counts"), c)))
-    return rows.select("h1", "role", "first", "size", again.alias("again"))
+    return rows.select("h1", "role", "first", "size", "counts", again.alias("again"))
+
+
+def _alike(edits: int) -> Column:
+    """Whether two lines' counts differ by no more than ``edits`` edits can change."""
+    apart = F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y))
+    return F.aggregate(apart, F.lit(0).cast("long"), lambda acc, x: acc + x) <= 2 * edits
 
 
 def _pairs(rows: DataFrame, open_: DataFrame, key: str, edits: int) -> DataFrame:
     """(a, b): a's of ``open_`` with earlier b's of ``rows`` under one key, one in the index and one a probe."""
-    a = open_.select(key, F.col("h1").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("role", "first", "size")])
-    b = rows.select(key, F.col("h1").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("role", "first", "size")])
+    a = open_.select(key, F.col("h1").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("role", "first", "size", "counts")])
+    b = rows.select(key, F.col("h1").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("role", "first", "size", "counts")])
     fits = (F.col("first_b") < F.col("first_a")) & (F.abs(F.col("size_a") - F.col("size_b")) <= edits)
     fits = fits & (F.col("role_a").bitwiseOR(F.col("role_b")) == INDEX + PROBE)
-    return a.join(b, key).filter(fits).select("a", "b")
+    return a.join(b, key).filter(fits & _alike(edits)).select("a", "b")
 
 
 def _settled(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     """(h1, h2) of the lines a that are near their b."""
-    side = lambda s: known.select(F.col("h1").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h2", "line", "first", "counts")])
+    side = lambda s: known.select(F.col("h1").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h2", "line", "first")])
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter("first_b < first_a")
-    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    near = verified(both.filter(apart <= 2 * edits), edits)
+    near = verified(both, edits)
     return materialize(near.select(F.col("a").alias("h1"), F.col("h2_a").alias("h2")).distinct(), "near")
 
 
@@ -204,11 +210,16 @@ def near_lines(lines: DataFrame, often: DataFrame, edits: int = EDITS, least: in
     placed = met.join(sized, "key").join(known.select("h1", "first", "size", "counts"), "h1")
     placed = materialize(placed.repartition("h1"), "placed")
     small, big = placed.filter(F.col("n") <= SMALL), placed.filter(F.col("n") > SMALL)
-    earliest = big.groupBy("key").agg(F.min(F.struct("first", "h1")).alias("least")).select("key", F.col("least.h1").alias("b"))
-    stars = big.join(earliest, "key").filter("h1 <> b").select(F.col("h1").alias("a"), "b")
-    near = _settled(_pairs(small, small, "key", edits).union(stars), known, edits)
-    few, many = COARSE
-    dealt = lambda rows: _agreeing(rows.filter(F.col("n") < LARGE), few, edits).union(_agreeing(rows.filter(F.col("n") >= LARGE), many, edits))
+    earliest = big.groupBy("key").agg(F.min(F.struct("first", "h1", "counts")).alias("least"))
+    earliest = earliest.select("key", F.col("least.h1").alias("b"), F.col("least.counts").alias("counts_b"))
+    stars = big.withColumnRenamed("counts", "counts_a").join(earliest, "key").filter((F.col("h1") != F.col("b")) & _alike(edits))
+    near = _settled(_pairs(small, small, "key", edits).union(stars.select(F.col("h1").alias("a"), "b")), known, edits)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        limits = [0, *LARGE, 1 << 62]
+        tiers = [_agreeing(rows.filter(F.col("n").between(low, high - 1)), c, edits) for c, low, high in zip(COARSE, limits[:-1], limits[1:], strict=True)]
+        return tiers[0].union(tiers[1]).union(tiers[2])
+
     still = big.join(near.select("h1"), "h1", "left_anti")
     return near.union(_settled(_pairs(dealt(big), dealt(still), "again", edits), known, edits))
 

@@ -20,12 +20,12 @@ def _edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize(("small", "large"), [(2, 6), (2, 10_000), (8, 1_024)])
+@pytest.mark.parametrize(("small", "large"), [(2, (6, 20)), (2, (10_000, 20_000)), (8, (1_024, 65_536))])
 def test_line_families(spark, monkeypatch, small, large):
     """Variants of one line, by letters and by words, in buckets of every kind."""
     monkeypatch.setattr(lines, "SMALL", small)
     monkeypatch.setattr(lines, "LARGE", large)
-    rng = random.Random(small + large)
+    rng = random.Random(small + large[0])
     base = [rng.choice(["anat", "the", "ontior", "blée", "re", "whinth"]) for _ in range(12)]
     found = []
     for k in range(70):
