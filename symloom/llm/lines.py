@@ -220,7 +220,6 @@ def near_lines(lines: DataFrame, often: DataFrame, edits: int = EDITS, least: in
         tiers = [_agreeing(rows.filter(F.col("n").between(low, high - 1)), c, edits) for c, low, high in zip(COARSE, limits[:-1], limits[1:], strict=True)]
         return tiers[0].union(tiers[1]).union(tiers[2])
 
-    still = big.join(near.select("h1"), "h1", "left_anti")
     return near.union(_settled(_pairs(dealt(big), dealt(still), "again", edits), known, edits))
 
 
