@@ -11,7 +11,7 @@ of the band, one word per number of edits, one step per character.
 What meets under a key is never paired as a whole. The lines of a small bucket are paired; those of a
 larger one first meet the bucket's earliest line only, which settles families of lines that are all
 alike (one earlier near line is enough). What is still unsettled is dealt again by its characters: two
-edits change the counts of characters by four in all, so of six classes of characters two hold as many
+edits change the counts of characters by four in all, so of five classes of characters one holds as many
 in both lines (of eight classes four and of twelve eight, in ever larger buckets), and lines only meet
 that agree on the counts of such classes. Pairs whose counts differ by more than four in all are let go
 where they meet.
@@ -37,9 +37,9 @@ from symloom.llm.common import WORD, materialize, table
 
 EDITS, LEAST = 2, 24
 #: Buckets of at most so many entries pair all of them; from so many on, more classes are used.
-SMALL, LARGE = 8, (1_024, 65_536)
+SMALL, LARGE = 8, (512, 65_536)
 #: Classes of characters, and the finer ones that they are made of.
-COARSE, CLASSES = (6, 8, 12), 24
+COARSE, CLASSES = (5, 8, 12), 24
 #: Line names are broadcast up to so many (16 bytes each), and joined by a shuffle beyond.
 FEW = 1_000_000
 #: A line is frequent from this share of all repeated lines on: there are at most so many of them.
@@ -174,9 +174,9 @@ def _agreeing(rows: DataFrame, classes: int, edits: int) -> DataFrame:
     as the hash of the key and the counts of those classes."""
     some = combinations(range(classes), max(0, classes - 2 * edits))
     some = ", ".join("array(" + ", ".join(str(k) for c in chosen for k in range(c, CLASSES, classes)) + ")" for chosen in some)
-    rows = rows.select("key", "h1", "role", "first", "size", "counts", F.expr(f"explode(array({some}))").alias("chosen"))
+    rows = rows.select("key", "h1", "role", "first", "size", "counts", "open", F.expr(f"explode(array({some}))").alias("chosen"))
     again = F.xxhash64("key", "chosen", F.transform("chosen", lambda c: F.get(F.col("counts"), c)))
-    return rows.select("h1", "role", "first", "size", "counts", again.alias("again"))
+    return rows.select("h1", "role", "first", "size", "counts", "open", again.alias("again"))
 
 
 def _alike(edits: int) -> Column:
@@ -215,12 +215,11 @@ def near_lines(lines: DataFrame, often: DataFrame, edits: int = EDITS, least: in
     stars = big.withColumnRenamed("counts", "counts_a").join(earliest, "key").filter((F.col("h1") != F.col("b")) & _alike(edits))
     near = _settled(_pairs(small, small, "key", edits).union(stars.select(F.col("h1").alias("a"), "b")), known, edits)
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        limits = [0, *LARGE, 1 << 62]
-        tiers = [_agreeing(rows.filter(F.col("n").between(low, high - 1)), c, edits) for c, low, high in zip(COARSE, limits[:-1], limits[1:], strict=True)]
-        return tiers[0].union(tiers[1]).union(tiers[2])
-
-    return near.union(_settled(_pairs(dealt(big), dealt(still), "again", edits), known, edits))
+    big = big.join(near.select("h1", F.lit(True).alias("settled")), "h1", "left").withColumn("open", F.col("settled").isNull())
+    limits = [0, *LARGE, 1 << 62]
+    tiers = [_agreeing(big.filter(F.col("n").between(low, high - 1)), c, edits) for c, low, high in zip(COARSE, limits[:-1], limits[1:], strict=True)]
+    dealt = materialize(tiers[0].union(tiers[1]).union(tiers[2]), "dealt")
+    return near.union(_settled(_pairs(dealt, dealt.filter("open"), "again", edits), known, edits))
 
 
 def doomed(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
