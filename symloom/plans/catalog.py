@@ -85,7 +85,11 @@ def encode_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_COUNTS} SELECT pos, sym, cnt FROM c")
 def position_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _symbol_counts(spark, sf_dir)
+    """Users are the items of one alignment without gaps."""
+    symbols = encode_symbols(spark, sf_dir).select(F.col("user_id").alias("item"), "pos", "sym")
+    start = symbols.select("item", F.lit(0).alias("row")).distinct()
+    paths = symbols.select("item", (F.col("pos") + 1).alias("row")).unionByName(start).withColumn("consumed", F.col("row"))
+    return profiles.frequencies(profiles.steps(paths, []), symbols, [])
 
 
 @query(f"WITH {_COUNTS} SELECT pos, sym, cnt, cnt / sum(cnt) OVER (PARTITION BY pos) AS share FROM c")
@@ -213,9 +217,9 @@ def _score(spark: SparkSession, sf_dir: str, mode: str, opt: Options) -> DataFra
     return rows.select("a", "b", F.col("score").cast("double").alias("score"))
 
 
-def _dp_sql(mode: str, opt: Options) -> str:
-    """The recurrence as a recursive query over rows: M and U look at the row before, L is a running
-    maximum along the row."""
+def _fill_sql(mode: str, opt: Options, pairs: str = _P) -> str:
+    """The recurrence as a recursive query over rows, ``d``: M and U look at the row before, L is a
+    running maximum along the row."""
     (go, ge), low = opt.gaps, -1_000_000
     free_one = mode in ("semiglobal_both", "semiglobal_one")
     free_two = mode in ("semiglobal_both", "semiglobal_two")
@@ -224,15 +228,8 @@ def _dp_sql(mode: str, opt: Options) -> str:
     corner_u, corner_l = ("0" if f else f"{go - ge}" for f in (free_one, free_two))
     floor = "greatest(0, {})" if mode == "local" else "{}"
     best = floor.format("greatest(pm, pu, pl) + CASE WHEN substr(one, y + 1, 1) = substr(two, x, 1) THEN {} ELSE {} END".format(MATCH, MISMATCH))
-    end = {
-        "global": "max(greatest(m, u, l)) FILTER (y = la AND x = lb)",
-        "local": "max(greatest(m, u, l))",
-    }.get(mode)
-    if end is None:
-        row, column = "max(greatest(m, u, l)) FILTER (y = la)", "max(greatest(m, u, l)) FILTER (x = lb)"
-        end = column if mode == "semiglobal_one" else f"greatest({row}, {column})"
     return f"""
-WITH RECURSIVE {_P}, d AS (
+WITH RECURSIVE {pairs}, d AS (
   SELECT a, b, one, two, la, lb, 0 AS y, x, CASE WHEN x = 0 THEN 0.0 ELSE {low} END::DOUBLE AS m,
     CASE WHEN x = 0 THEN {corner_u} ELSE {low} END::DOUBLE AS u, CASE WHEN x = 0 THEN {corner_l} ELSE {l0} END::DOUBLE AS l
   FROM (SELECT *, unnest(range(lb + 1)) AS x FROM p)
@@ -243,8 +240,34 @@ WITH RECURSIVE {_P}, d AS (
     SELECT *, CASE WHEN x = 0 THEN {low} ELSE {best} END::DOUBLE AS nm, CASE WHEN x = 0 THEN {u0} ELSE greatest(m + {go}, u + {ge}) END::DOUBLE AS nu
     FROM (SELECT *, lag(m) OVER w AS pm, lag(u) OVER w AS pu, lag(l) OVER w AS pl FROM d WHERE y < la WINDOW w AS (PARTITION BY a, b ORDER BY x))
   )
-)
-SELECT a, b, {end}::DOUBLE AS score FROM d GROUP BY a, b"""
+)"""
+
+
+def _dp_sql(mode: str, opt: Options) -> str:
+    end = {
+        "global": "max(greatest(m, u, l)) FILTER (y = la AND x = lb)",
+        "local": "max(greatest(m, u, l))",
+    }.get(mode)
+    if end is None:
+        row, column = "max(greatest(m, u, l)) FILTER (y = la)", "max(greatest(m, u, l)) FILTER (x = lb)"
+        end = column if mode == "semiglobal_one" else f"greatest({row}, {column})"
+    return f"{_fill_sql(mode, opt)} SELECT a, b, {end}::DOUBLE AS score FROM d GROUP BY a, b"
+
+
+def _paths_sql(opt: Options, pairs: str = _P) -> str:
+    """Global alignments traced back from their ends, ``t``: k steps from the end a path is at (y, x)."""
+    go = opt.gaps[0]
+    return f"""{_fill_sql("global", opt, pairs)}, cell AS MATERIALIZED (SELECT a, b, y, x, m, u, l FROM d), t AS (
+  SELECT a, b, one, two, 0 AS k, y, x, m, u, l, CASE WHEN m >= u AND m >= l THEN 'm' WHEN u >= l THEN 'u' ELSE 'l' END AS s FROM d WHERE y = la AND x = lb
+  UNION ALL
+  SELECT t.a, t.b, one, two, k + 1, c.y, c.x, c.m, c.u, c.l, CASE
+    WHEN s = 'm' AND t.m = c.m + CASE WHEN substr(one, t.y, 1) = substr(two, t.x, 1) THEN {MATCH} ELSE {MISMATCH} END THEN 'm'
+    WHEN s = 'm' AND t.m = c.u + CASE WHEN substr(one, t.y, 1) = substr(two, t.x, 1) THEN {MATCH} ELSE {MISMATCH} END THEN 'u'
+    WHEN s = 'm' THEN 'l'
+    WHEN s = 'u' THEN CASE WHEN t.u = c.m + {go} THEN 'm' ELSE 'u' END
+    ELSE CASE WHEN t.l = c.m + {go} THEN 'm' ELSE 'l' END END
+  FROM t JOIN cell c ON c.a = t.a AND c.b = t.b AND c.y = t.y - CASE WHEN s = 'l' THEN 0 ELSE 1 END AND c.x = t.x - CASE WHEN s = 'u' THEN 0 ELSE 1 END
+)"""
 
 
 def _score_query(name: str, mode: str, opt: Options) -> None:
@@ -259,6 +282,7 @@ _score_query("nw_score_global", "global", GAPS)
 _score_query("nw_score_linear_gap", "global", LINEAR)
 _score_query("semiglobal_score_both", "semiglobal_both", GAPS)
 _score_query("semiglobal_score_one", "semiglobal_one", GAPS)
+_score_query("semiglobal_score_two", "semiglobal_two", GAPS)
 _score_query("local_score", "local", GAPS)
 
 
@@ -268,20 +292,30 @@ def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", F.col("score").cast("double").alias("score"), F.col("distance").cast("double").alias("distance"))
 
 
-@query()
-def semiglobal_score_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _score(spark, sf_dir, "semiglobal_two", GAPS)
-
-
-@query()
+@query(
+    f"""{_paths_sql(GAPS)}, h AS (SELECT a, b, CAST(max(k) OVER (PARTITION BY a, b) - k AS INTEGER) AS row, y, x FROM t)
+SELECT a, b, row, 0 AS item, CAST(y AS INTEGER) AS consumed FROM h UNION ALL SELECT a, b, row, 1 AS item, CAST(x AS INTEGER) AS consumed FROM h"""
+)
 def global_alignment_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.align_pairs(pairwise.unordered_pairs(_names(spark, sf_dir)), [SCORES.dense], GAPS, "global", True)
+    done = pairwise.align_pairs(pairwise.unordered_pairs(_names(spark, sf_dir)), [SCORES.dense], GAPS, "global", True)
+    return profiles.long_paths(done, ["a", "b"])
 
 
 # families
 
 
-@query()
+_FAMILY_PAIRS = f"""{_N}, p AS (SELECT a.ord AS a, b.ord AS b, a.name AS one, b.name AS two, length(a.name) AS la, length(b.name) AS lb
+  FROM n a JOIN n b ON ascii(a.name) = ascii(b.name) AND a.ord <> b.ord)"""
+
+
+@query(
+    f"""{_paths_sql(GAPS, _FAMILY_PAIRS)}, h AS (SELECT a, b, k, y, x, two, lag(y) OVER (PARTITION BY a, b ORDER BY k DESC) AS was FROM t),
+kept AS (SELECT a, y, x, two, lag(x) OVER (PARTITION BY a, b ORDER BY k DESC) AS before FROM h WHERE was IS NULL OR y > was),
+held AS (SELECT a AS ord, y - 1 AS pos, substr(two, x, 1) AS symbol FROM kept WHERE x > before
+  UNION ALL SELECT ord, i, substr(name, i + 1, 1) FROM (SELECT *, unnest(range(length(name))) AS i FROM n))
+SELECT CAST(ascii(name) AS BIGINT) AS family_id, ord, CAST(pos AS INTEGER) AS pos,
+  strpos(' abcdefghijklmnopqrstuvwxyz', symbol)::INTEGER - 1 AS sym, count(*) AS cnt FROM held JOIN n USING (ord) GROUP BY ALL"""
+)
 def preprofile_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.preprofiles(_name_families(spark, sf_dir), [SCORES.dense], GAPS)
 
@@ -300,13 +334,29 @@ def preprofile_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.preprofiles(_name_families(spark, sf_dir), [SCORES.dense], GAPS.merge(preprofile_mode="dummy"))
 
 
+def _tree_sql(linkage: str) -> str:
+    """Clusters keep their least member; ``r`` holds all pairs of clusters of a step."""
+    join = {"single": "min", "complete": "max", "average": "sum"}[linkage]
+    mean = "link / n" if linkage == "average" else "link"
+    return f"""WITH RECURSIVE s AS ({_dp_sql("global", GAPS)}), r AS (
+  SELECT 0 AS step, a, b, greatest(max(score) OVER (), 0) - score AS link, CAST(1 AS BIGINT) AS n FROM s
+  UNION ALL
+  SELECT step, least(i, j), greatest(i, j), {join}(link), CAST(sum(n) AS BIGINT) FROM (
+    SELECT step + 1 AS step, CASE WHEN a = q THEN p ELSE a END AS i, CASE WHEN b = q THEN p ELSE b END AS j, link, n
+    FROM (SELECT *, first_value(a) OVER w AS p, first_value(b) OVER w AS q FROM r WINDOW w AS (ORDER BY {mean}, a, b))
+  ) WHERE i <> j GROUP BY step, least(i, j), greatest(i, j)
+)
+SELECT CAST(0 AS BIGINT) AS family_id, step, a AS "left", b AS "right"
+FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY {mean}, a, b) AS k FROM r) WHERE k = 1"""
+
+
 def _tree(linkage: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         opt = GAPS.merge(linkage=linkage)
         return families.guide_trees(families.distances(_names(spark, sf_dir), [SCORES.dense], opt), opt)
 
     run.__name__ = f"guide_tree_{linkage}"
-    return query()(run)
+    return query(_tree_sql(linkage))(run)
 
 
 for _linkage in ("single", "complete", "average"):
@@ -343,6 +393,14 @@ def fasta_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.fasta_text(rows, ["c_nationkey"]).select("c_nationkey", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
+@query("SELECT c_nationkey, md5(string_agg('>' || substr(repeat(c_name, 5), 1, 71) || chr(10) || substr(r, 1, 72) || chr(10) || substr(r, 73) || chr(10), '' ORDER BY c_custkey)) AS digest FROM (SELECT *, rpad(repeat(c_mktsegment, 12), 90, '-') AS r FROM customer) GROUP BY c_nationkey")
+def aligned_fasta_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select(
+        "c_nationkey", F.col("c_custkey").alias("ord"), F.repeat("c_name", F.lit(5)).alias("name"), F.rpad(F.repeat("c_mktsegment", F.lit(12)), 90, "-").alias("gapped")
+    )
+    return text.aligned_fasta_text(rows, ["c_nationkey"]).select("c_nationkey", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
 @query("SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS ord, p_partkey || ' ' || p_type AS name, replace(p_name, ' ', '') || p_type AS residues FROM part")
 def fasta_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
@@ -354,9 +412,8 @@ def fasta_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_E} SELECT user_id, pos + 1 AS first, pos + 1 AS last, 'event_error' AS type FROM e WHERE event_type = 'error'")
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shades = spark.createDataFrame([("error", "event_error")], "event_type string, type string")
-    rows = _events(spark, sf_dir).join(F.broadcast(shades), "event_type")
-    return rows.select("user_id", (F.col("pos") + 1).alias("first"), (F.col("pos") + 1).alias("last"), "type")
+    symbols = _events(spark, sf_dir).select("user_id", F.lit("event").alias("track"), "pos", F.col("event_type").alias("symbol"))
+    return text.feature_rows(symbols, {"event_error": "red"}, ["user_id"])
 
 
 @query(

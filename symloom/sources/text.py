@@ -88,6 +88,15 @@ def aligned_fasta(names: Sequence[str], rows: Sequence[str], width: int = 72) ->
     return "".join(line + "\n" for line in lines)
 
 
+def aligned_fasta_text(rows: DataFrame, keys: Sequence[str] = (), width: int = 72) -> DataFrame:
+    """``aligned_fasta`` as one text per key: records (ord, name, gapped) in order."""
+    header = F.concat(F.lit(">"), F.substring("name", 1, width - 1), F.lit("\n"))
+    body = wrapped(F.col("gapped"), width)
+    record = F.struct("ord", F.concat(header, F.when(body != "", F.concat(body, F.lit("\n"))).otherwise("")).alias("text"))
+    texts = F.transform(F.sort_array(F.collect_list(record)), lambda r: r["text"])
+    return rows.groupBy(*keys).agg(F.array_join(texts, "").alias("value"))
+
+
 def conservation(rows: Sequence[str], matrix: ScoreMatrix | None, gap: str = "-") -> str:
     """'*' where all ordered pairs of a column score at least 0.9 of the best possible, ':' from 0.4,
     else blank; gaps score 0; blank without a matrix and for columns of gaps."""
@@ -145,6 +154,13 @@ def features(names: Sequence[str], tracks: Sequence[tuple[str, str, dict[str, st
     return "".join(line + "\n" for line in [*(f"{k}\t{v}" for k, v in colors.items()), *rows])
 
 
+def feature_rows(symbols: DataFrame, colors: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """(keys, first, last, type): coloured positions, from 1, of long symbols (keys, track, pos,
+    symbol); a type is its track and symbol joined by an underscore."""
+    kind, place = F.concat_ws("_", "track", "symbol"), F.col("pos") + 1
+    return symbols.filter(kind.isin(*colors)).select(*keys, place.alias("first"), place.alias("last"), kind.alias("type"))
+
+
 def blast_hits(files: DataFrame) -> DataFrame:
     """(path, rank, hit_id, evalue) of search reports in XML (rows path, value): hits of the last
     iteration in file order, each with its first segment's e-value."""
