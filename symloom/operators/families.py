@@ -1,7 +1,8 @@
 """Stacking, guide trees and multiple alignment over families.
 
-Work that is independent per pair (stacks, distances) runs pair by pair over the whole cluster; what
-is sequential by nature (clustering, merging) runs family by family in ``applyInPandas``."""
+Work that is independent per pair (stacks, distances, also within ``align_families``) runs pair by
+pair over the whole cluster; what is sequential by nature (clustering, merging) runs family by family
+in ``applyInPandas``."""
 
 from __future__ import annotations
 
@@ -69,37 +70,84 @@ def preprofiles(rows: DataFrame, matrices: list[np.ndarray], opt: Options = Opti
 def distances(rows: DataFrame, matrices: list[np.ndarray], opt: Options = Options()) -> DataFrame:
     """(family_id, a, b, score, distance): the family's highest score, at least 0, minus the pair's."""
     mode = {"global": "global", "semiglobal": "semiglobal_both", "semiglobal_auto": "auto"}[opt.dist_mode]
-    scores = pairwise.align_pairs(pairwise.unordered_pairs(rows), matrices, opt, mode)
+    return _from_best(pairwise.align_pairs(pairwise.unordered_pairs(rows), matrices, opt, mode))
+
+
+def _from_best(scores: DataFrame) -> DataFrame:
     most = scores.groupBy("family_id").agg(F.greatest(F.max("score"), F.lit(0.0).cast("float")).alias("most"))
     return scores.join(most, "family_id").select("family_id", "a", "b", "score", (F.col("most") - F.col("score")).alias("distance"))
 
 
+def profiled(rows: DataFrame, matrices: list[np.ndarray], opt: Options = Options()) -> DataFrame:
+    """(family_id, ord, sets, at, sym, cnt): members, with the counts of their stacks as arrays."""
+    held = preprofiles(rows, matrices, opt).groupBy("family_id", "ord").agg(F.collect_list(F.struct("pos", "sym", "cnt")).alias("held"))
+    mine = rows.select(F.col("family_id").cast("long").alias("family_id"), F.col("ord").cast("int").alias("ord"), "sets")
+    parts = [F.col("held.pos").alias("at"), F.col("held.sym").alias("sym"), F.col("held.cnt").alias("cnt")]
+    return mine.join(held, ["family_id", "ord"], "left").select("family_id", "ord", "sets", *parts)
+
+
+def _member(row: dict, sizes: list[int]) -> pg.Member:
+    """One row of ``profiled``; a sequence without positions has no counts."""
+    plain = pg.member([np.asarray(s, dtype=np.int64) for s in row["sets"]], sizes)
+    counts = np.zeros_like(plain.counts[0])
+    if len(plain):
+        counts[np.asarray(row["at"]), np.asarray(row["sym"])] = row["cnt"]
+    return pg.Member(plain.symbols, [counts, *plain.counts[1:]])
+
+
+def profile_distances(members: DataFrame, matrices: list[np.ndarray], opt: Options = Options()) -> DataFrame:
+    """As ``distances``, of members as ``profiled`` gives them: profile against profile."""
+    sizes = [m.shape[0] for m in matrices]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = ([_member(v, sizes) for v in batch.column(c).to_pylist()] for c in ("one", "two"))
+            grids = [pg.grid(p.counts, q.counts, matrices) for p, q in zip(one, two, strict=True)]
+            score = pairwise.batched_scores(grids, [pg.pair_mode(opt.dist_mode, *g.shape) for g in grids], opt)
+            cols = [batch.column(c) for c in ("family_id", "a", "b")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(score, pa.float32())], names=["family_id", "a", "b", "score"])
+
+    pairs = pairwise.unordered_pairs(members.select("family_id", "ord", F.struct("sets", "at", "sym", "cnt").alias("sets")))
+    return _from_best(pairs.repartition("family_id", "a", "b").mapInArrow(run, "family_id long, a int, b int, score float"))
+
+
+def _square(ids: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
+    """Distances of a family's pairs as a matrix in the order of ``ids``."""
+    i, j = np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])
+    d = np.zeros((len(ids), len(ids)))
+    d[i, j] = d[j, i] = pdf["distance"]
+    return d
+
+
 def guide_trees(distance: DataFrame, opt: Options = Options()) -> DataFrame:
     """(family_id, step, left, right): merges in order, right into left."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
-        i, j = np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])
-        d = np.zeros((len(ids), len(ids)))
-        d[i, j] = d[j, i] = pdf["distance"]
-        order = pg.merge_order(d, opt.linkage)
+        order = pg.merge_order(_square(ids, pdf), opt.linkage)
         return pd.DataFrame([(key[0], k, int(ids[x]), int(ids[y])) for k, (x, y) in enumerate(order)], columns=["family_id", "step", "left", "right"])
 
     return distance.groupBy("family_id").applyInPandas(run, TREE)
 
 
 def align_families(rows: DataFrame, matrices: list[np.ndarray], opt: Options = Options()) -> DataFrame:
-    """(family_id, items, path) of every family: stack, then join along a tree or greedily."""
+    """(family_id, items, path) of every family: stack, then join along a tree or greedily. Stacks and
+    the scores of all pairs come from the whole cluster; a family's task only orders and joins."""
     sizes = [m.shape[0] for m in matrices]
+    members = profiled(rows, matrices, opt)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        members = [pg.member([np.asarray(s) for s in sets], sizes) for sets in pdf["sets"]]
-        path, items = pg.align_family(members, matrices, opt)
-        return pd.DataFrame({"family_id": [key[0]], "items": [[int(pdf["ord"].iloc[k]) for k in items]], "path": [path.tolist()]})
-
-    src = rows.select(F.col("family_id").cast("long"), F.col("ord").cast("int"), "sets")
-    return src.groupBy("family_id").applyInPandas(run, "family_id long, items array<int>, path array<array<int>>")
+        ids, ready = pdf["ord"].to_numpy(), [_member(row, sizes) for row in pdf.to_dict("records")]
+        if opt.msa_mode == "tree":
+            done = pg.along_tree(ready, pg.merge_order(_square(ids, pairs), opt.linkage), matrices, opt)
+        else:
+            at = zip(np.searchsorted(ids, pairs["a"]).tolist(), np.searchsorted(ids, pairs["b"]).tolist(), strict=True)
+            done = pg.greedy(ready, matrices, opt, dict(zip(at, pairs["score"].tolist(), strict=True)))
+        return pd.DataFrame({"family_id": [key[0]], "items": [[int(ids[k]) for k in done.items]], "path": [done.path.tolist()]})
+
+    sides = members.groupBy("family_id"), profile_distances(members, matrices, opt).groupBy("family_id")
+    return sides[0].cogroup(sides[1]).applyInPandas(run, "family_id long, items array<int>, path array<array<int>>")
 
 
 def gapped_rows(alignments: DataFrame, texts: DataFrame, gap: str = "-") -> DataFrame:

@@ -73,6 +73,16 @@ def _batched(grids: list[np.ndarray], gaps: tuple[float, float], mode: str, free
     return out
 
 
+def batched_scores(grids: list[np.ndarray], modes: list[str], opt: Options) -> list[float]:
+    """Scores of grids, each aligned in its own mode."""
+    out = [0.0] * len(grids)
+    for m in set(modes):
+        at = [k for k, x in enumerate(modes) if x == m]
+        for k, s in zip(at, _batched([grids[k] for k in at], opt.gaps, m, opt.strict_local), strict=True):
+            out[k] = s
+    return out
+
+
 def align_pairs(pairs: DataFrame, matrices: list[np.ndarray], opt: Options = Options(), mode: str = "global", with_path: bool = False) -> DataFrame:
     """(family_id, a, b, score[, path]) of pairs (family_id, a, b, one, two); mode "auto" picks by
     length. Without paths no traceback is made at all."""
@@ -92,11 +102,7 @@ def align_pairs(pairs: DataFrame, matrices: list[np.ndarray], opt: Options = Opt
                 ]
                 score = [s for s, _ in done]
             else:
-                score = [0.0] * len(grids)
-                for m in set(modes):
-                    at = [k for k, x in enumerate(modes) if x == m]
-                    for k, s in zip(at, _batched([grids[k] for k in at], opt.gaps, m, opt.strict_local), strict=True):
-                        score[k] = s
+                score = batched_scores(grids, modes, opt)
             cols.append(pa.array(score, pa.float32()))
             if with_path:
                 cols.append(pa.array([p.tolist() for _, p in done], pa.list_(pa.list_(pa.int32()))))

@@ -181,9 +181,10 @@ def along_tree(members: list[Member], order: list[tuple[int, int]], matrices: li
     return next(iter(live.values()))
 
 
-def greedy(members: list[Member], matrices: list[np.ndarray], opt: Options) -> Cluster:
-    """Joins the best scoring pair of clusters each round; only pairs of the last join are scored anew."""
-    live, known = _start(members), {}
+def greedy(members: list[Member], matrices: list[np.ndarray], opt: Options, known: dict[tuple[int, int], float] | None = None) -> Cluster:
+    """Joins the best scoring pair of clusters each round; only pairs of the last join are scored anew.
+    ``known`` holds scores of pairs of members that were found before."""
+    live, known = _start(members), dict(known or {})
     while len(live) > 1:
         ids = list(live)
         for a, i in enumerate(ids):

@@ -84,6 +84,18 @@ def test_families_align(spark, msa):
         assert r.gapped.replace("-", "") == FAMS[r.family_id][r.ord]
 
 
+@pytest.mark.parametrize("stack", ["global", "local", "dummy"])
+@pytest.mark.parametrize("msa", ["tree", "adhoc"])
+def test_families_align_as_the_family_kernel(spark, msa, stack):
+    opt = Options(msa_mode=msa, preprofile_mode=stack, dist_mode="semiglobal_auto")
+    fams = {**FAMS, 3: ["MKV"]}
+    done = families.align_families(_rows(spark, fams), [SCORES.dense], opt).collect()
+    assert {r.family_id for r in done} == set(fams)
+    for r in done:
+        path, items = pg.align_family(_members(fams[r.family_id]), [SCORES.dense], opt)
+        assert (r.items, r.path) == (items, path.tolist())
+
+
 def test_linkage_and_order():
     d = np.array([[0, 2, 9, 9], [2, 0, 8, 9], [9, 8, 0, 2], [9, 9, 2, 0]], dtype=float)
     assert pg.merge_order(d, "single") == [(0, 1), (2, 3), (0, 2)]

@@ -60,3 +60,13 @@ def test_command_line(tmp_path):
     for extra in (["--msa", "tree", "--preprofile", "global"], ["-f", "clustal", "--merge", "semiglobal_auto"]):
         main([str(tmp_path / "in.fa"), str(tmp_path / "out"), *extra])
         assert "HEA" in (tmp_path / "out").read_text()
+
+
+def test_aligned_fasta_and_features_as_rows(spark):
+    rows = [(1, 1, "b" * 80, "-" * 73), (1, 0, "a", "AC-" * 24), (2, 0, "c", "")]
+    out = text.aligned_fasta_text(spark.createDataFrame(rows, "k int, ord int, name string, gapped string"), ["k"])
+    want = {1: text.aligned_fasta(["a", "b" * 80], ["AC-" * 24, "-" * 73]), 2: text.aligned_fasta(["c"], [""])}
+    assert {r.k: r.value for r in out.collect()} == want
+    symbols = spark.createDataFrame([(7, "t", k, c) for k, c in enumerate("HCH")], "id int, track string, pos int, symbol string")
+    found = text.feature_rows(symbols, {"t_H": "red"}, ["id"]).collect()
+    assert sorted(tuple(r) for r in found) == [(7, 1, 1, "t_H"), (7, 3, 3, "t_H")]
