@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.model import TREE, Options
@@ -74,8 +74,10 @@ def distances(rows: DataFrame, matrices: list[np.ndarray], opt: Options = Option
 
 
 def _from_best(scores: DataFrame) -> DataFrame:
-    most = scores.groupBy("family_id").agg(F.greatest(F.max("score"), F.lit(0.0).cast("float")).alias("most"))
-    return scores.join(most, "family_id").select("family_id", "a", "b", "score", (F.col("most") - F.col("score")).alias("distance"))
+    """A window, not a join with the aggregate, which would align all pairs twice; guide trees group by
+    the same key afterwards."""
+    most = F.greatest(F.max("score").over(Window.partitionBy("family_id")), F.lit(0.0).cast("float"))
+    return scores.select("family_id", "a", "b", "score", (most - F.col("score")).alias("distance"))
 
 
 def profiled(rows: DataFrame, matrices: list[np.ndarray], opt: Options = Options()) -> DataFrame:
