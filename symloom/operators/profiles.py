@@ -38,6 +38,17 @@ def frequencies(emitted: DataFrame, symbols: DataFrame, keys: Sequence[str]) ->
     return rows.groupBy(*keys, F.col("col").alias("pos"), "sym").agg(F.count("*").alias("cnt"))
 
 
+def one_hot(symbols: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, pos, sym, cnt): a plain track as a profile, one count per position."""
+    return symbols.select(*keys, "pos", "sym", F.lit(1).cast("long").alias("cnt"))
+
+
+def lookup(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Rows with ``score``, the matrix entry of (sym_a, sym_b); pairs that it lacks score 0. The
+    matrix has one row per pair of an alphabet's symbols and is broadcast."""
+    return pairs.join(F.broadcast(matrix), ["sym_a", "sym_b"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def probabilities(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     total = F.sum("cnt").over(Window.partitionBy(*keys, "pos"))
     return counts.withColumn("share", F.col("cnt") / total)

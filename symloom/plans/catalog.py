@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from symloom.functions.alphabets import Alphabet, characters, encode
 from symloom.functions.matrices import identity
 from symloom.model import Options
-from symloom.operators import families, pairwise, profiles
+from symloom.operators import families, pairwise, profiles, tracks
 from symloom.sources import text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,55 @@ def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.expected_scores(_symbol_counts(spark, sf_dir), matrix, [])
 
 
+# tracks, one-hot profiles and matrix entries
+
+
+def _user_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, tracks): every user's event codes as track ``input``."""
+    rows = encode_symbols(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("s"))
+    return rows.select("user_id", F.create_map(F.lit("input"), F.col("s.sym")).alias("tracks"))
+
+
+@query(
+    f"""WITH {_E}, t AS (SELECT user_id, 'input' AS track, pos, 4 - sym AS sym FROM e UNION ALL SELECT user_id, 'parity', pos, sym % 2 FROM e)
+SELECT user_id, track, pos, CAST(sym AS INTEGER) AS sym FROM t"""
+)
+def track_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parity track comes, the input is replaced by its codes counted from the end, a copy of it comes and goes."""
+    first = F.element_at("tracks", "input")
+    rows = _user_tracks(spark, sf_dir).withColumn("tracks", tracks.add(F.col("tracks"), "parity", F.transform(first, lambda x: (x % 2).cast("int"))))
+    rows = rows.withColumn("tracks", tracks.add(F.col("tracks"), "copy", tracks.get(F.col("tracks"), "input")))
+    rows = rows.withColumn("tracks", tracks.replace(F.col("tracks"), "input", F.transform(first, lambda x: F.lit(4) - x)))
+    rows = rows.withColumn("tracks", tracks.delete(F.col("tracks"), "copy"))
+    rows = rows.select("user_id", F.explode("tracks").alias("track", "codes"))
+    return rows.select("user_id", "track", F.posexplode("codes").alias("pos", "sym"))
+
+
+@query("SELECT c_custkey, 'preprofile,' || c_mktsegment || ';' || c_mktsegment || ',preprofile' AS track_sets FROM customer")
+def track_set_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = F.array(F.array(F.lit("input"), "c_mktsegment"), F.array("c_mktsegment", F.lit("input")))
+    named = tracks.rename_in_sets(sets, "input", "preprofile")
+    text_of = F.array_join(F.transform(named, lambda s: F.array_join(s, ",")), ";")
+    return _table(spark, sf_dir, "customer").select("c_custkey", text_of.alias("track_sets"))
+
+
+@query(f"WITH {_E} SELECT user_id, pos, sym, CAST(1 AS BIGINT) AS cnt FROM e")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.one_hot(encode_symbols(spark, sf_dir).select("user_id", "pos", "sym"), ["user_id"])
+
+
+@query(
+    f"""WITH {_E}, f AS (SELECT *, lead(sym) OVER (PARTITION BY user_id ORDER BY pos) AS next FROM e)
+SELECT user_id, pos, CASE WHEN sym = next THEN 2.0::DOUBLE WHEN next IS NULL THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM f"""
+)
+def matrix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each event with the user's next one; the last has none, which scores 0."""
+    rows = encode_symbols(spark, sf_dir).withColumn("sym_b", F.lead("sym").over(Window.partitionBy("user_id").orderBy("pos")))
+    scores = [(a, b, float(MATCH if a == b else MISMATCH)) for a in range(5) for b in range(5)]
+    matrix = spark.createDataFrame(scores, "sym_a int, sym_b int, score double")
+    return profiles.lookup(rows.withColumnRenamed("sym", "sym_a"), matrix).select("user_id", "pos", "score")
+
+
 # columns of the part names, blanks being gaps
 
 
