@@ -149,6 +149,22 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(count))]), np.concatenate(owner)
 
 
+def gradients(
+    vectors: np.ndarray, count: np.ndarray, soft: np.ndarray, bias: np.ndarray, label: np.ndarray, tilt: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The tilted mean cross entropy of blocks, whose n-gram vectors follow each other, ``count`` to a
+    block, and its gradients: by each vector of a block (the same for all of them), by softmax and bias."""
+    mean = np.add.reduceat(vectors, np.cumsum(count) - count) / count[:, None].astype(np.float32)
+    z = mean @ soft + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    mine = np.arange(len(count)), label
+    loss = float(-(tilt * np.log(np.maximum(p[mine], 1e-30))).mean())
+    p[mine] -= 1
+    g = (p * (tilt / len(count))[:, None]).astype(soft.dtype)
+    return loss, (g @ soft.T) / count[:, None].astype(np.float32), mean.T @ g, g.sum(0)
+
+
 def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 11) -> Model:
     """Learn from texts and 0/1 labels; ``share`` is that of toxic labels among all."""
     if not len(texts) or toxic.min() == toxic.max():
@@ -187,14 +203,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 11) ->
                 continue
             count = np.diff(edge)[at]
             ids = found[np.repeat(edge[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            mean = np.add.reduceat(emb[ids], np.cumsum(count) - count) / count[:, None].astype(np.float32)
-            z = mean @ soft + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(at)), label[at].astype(int)] -= 1
-            g = (p * (tilt[at] / len(at))[:, None]).astype(np.float32)
-            g_mean = (g @ soft.T) / count[:, None].astype(np.float32)
-            g_soft, g_bias = mean.T @ g, g.sum(0)
+            _, g_mean, g_soft, g_bias = gradients(emb[ids], count, soft, bias, label[at].astype(int), tilt[at])
             soft_sum += g_soft**2
             bias_sum += g_bias**2
             soft -= 0.1 * g_soft / np.sqrt(soft_sum)

@@ -453,3 +453,24 @@ def test_toxicity_sample_is_full_beside_long_texts(spark, monkeypatch):
     toxicity.fit(docs(spark, rows), spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int"))
     texts, toxic = seen[0]
     assert np.bincount(toxic).tolist() == [20, 20] and max(map(len, texts)) < 100
+
+
+def test_training_gradients():
+    """Against differences of the loss, in doubles."""
+    rng = np.random.default_rng(2)
+    count = np.array([3, 1, 5, 2])
+    at = np.repeat(np.arange(4), count)
+    vectors, soft, bias = rng.normal(size=(count.sum(), 6)), rng.normal(size=(6, 2)), rng.normal(size=2)
+    label, tilt = np.array([0, 1, 1, 0]), np.array([0.5, 2.0, 1.0, 3.0])
+    loss = lambda: toxicity.gradients(vectors, count, soft, bias, label, tilt)[0]
+    mean = np.stack([vectors[at == k].mean(0) for k in range(4)]) @ soft + bias
+    assert abs(loss() - np.mean([t * (np.log(np.exp(z).sum()) - z[y]) for z, y, t in zip(mean, label, tilt, strict=True)])) < 1e-9
+    _, by_mean, by_soft, by_bias = toxicity.gradients(vectors, count, soft, bias, label, tilt)
+    for values, told in ((vectors, by_mean[at]), (soft, by_soft), (bias, by_bias)):
+        for k in np.ndindex(values.shape):
+            held, step = values[k], 1e-6
+            values[k] = held + step
+            up = loss()
+            values[k] = held - step
+            assert abs((up - loss()) / (2 * step) - told[k]) < 1e-6
+            values[k] = held
