@@ -46,6 +46,44 @@ def test_line_families(spark, monkeypatch, small, large):
     assert {r.doc_id: r.removed for r in got} == want
 
 
+def _edited(rng, line, edits):
+    line = list(line)
+    for _ in range(rng.randint(0, edits)):
+        at = rng.randrange(len(line) + 1)
+        line[at : at + rng.randint(0, 1)] = rng.choice([[], ["#"], ["ö"]])
+    return "".join(line)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_line_keys_are_few_and_lose_no_pair(spark, edits):
+    """Lines of all lengths about the borders of a kind, each beside edited ones."""
+    rng = random.Random(edits)
+    pairs = []
+    for size in range(24, 75):
+        for letters in ("abcdefgh ", "aé😀b"):
+            line = "".join(rng.choice(letters) for _ in range(size))
+            pairs += [(line, _edited(rng, line, edits)) for _ in range(4)]
+    texts = sorted({t for pair in pairs for t in pair})
+    rows = spark.createDataFrame([(k, len(t), t) for k, t in enumerate(texts)], "h1 long, size int, line string")
+    keys = {k: set() for k in range(len(texts))}
+    found = lines.entries(rows, edits).select("h1", "key").collect()
+    for k, key in found:
+        keys[k].add(key)
+    if edits == 2:
+        assert len(found) <= 5.2 * len(texts)
+    number = {t: k for k, t in enumerate(texts)}
+    assert all(keys[number[a]] & keys[number[b]] for a, b in pairs if _edits(a, b) <= edits)
+
+
+def test_edit_distance_without_equal_ends(spark):
+    rng, rows = random.Random(8), []
+    for k in range(240):
+        a = "".join(rng.choice("ab" if k % 2 else "abcé😀 ") for _ in range(rng.choice([0, 1, 2, 5, 30, 64, 65, 140])))
+        rows += [(a, _edited(rng, a, 4)), (a, a), (a, a[1:] + a[:1])]
+    got = {(r.line_a, r.line_b) for r in lines.verified(spark.createDataFrame(rows, "line_a string, line_b string")).collect()}
+    assert got == {(a, b) for a, b in rows if _edits(a, b) <= 2}
+
+
 def test_line_columns_and_emptied(spark):
     line = "a line that is long enough to count"
     rows = [(1, line, "x", 1, 2, 3), (2, line, "y", 4, 5, 6), (3, line + "\nown words", "z", 7, 8, 9), (4, None, "n", 0, 0, 0), (5, " ", "b", 0, 0, 0)]
